@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tradebook.functions import urls
 from tradebook.functions.fixed_values import PAGE_TYPE_ORDER, PAGE_WEIGHTS, PAGE_WORDS, SEED_TAG_WORDS
+from tradebook.operators import crawl
 from tradebook.operators.keys import ranked_per_key, top_per_key
 from tradebook.plans import views as v
 from tradebook.plans.registry import query
@@ -168,3 +169,98 @@ _TAGS_SQL = (
     + ", ".join(f"CASE WHEN contains(domain, '{w}') THEN '{t}' END" for w, t in SEED_TAG_WORDS)
     + "], lambda x: x IS NOT NULL))), ',')"
 )
+
+
+@query(
+    "seed_intake",
+    f"""WITH {v.URL_PARTS_SQL}, c AS (SELECT page_id, url, {v.CANONICAL_SQL} AS canonical_url, regexp_replace(host, '^www\\.', '') AS domain FROM url_parts),
+known AS (SELECT canonical_url FROM c WHERE page_id % 3 = 0),
+f AS (SELECT canonical_url, min(page_id) AS page_id, any_value(domain) AS domain FROM c WHERE canonical_url NOT IN (SELECT canonical_url FROM known) GROUP BY 1)
+SELECT canonical_url, page_id, domain, {_TAGS_SQL} AS tags FROM f""",
+)
+def seed_intake(spark, sf_dir):
+    """Seeds from crawled addresses; a third of the pages stands for the seeds known already."""
+    found = v.pages(spark, sf_dir).select("page_id", "url")
+    known = found.where("page_id % 3 = 0").select(urls.canonical_url(F.col("url")).alias("canonical_url"))
+    out = crawl.seed_intake(found, known, "page_id")
+    return out.select("canonical_url", "page_id", "domain", F.array_join(F.sort_array("tags"), ",").alias("tags"))
+
+
+_SEED_STATE = "CASE page_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' ELSE 'skipped' END"
+
+
+@query(
+    "seed_stats",
+    f"""WITH {v.URL_PARTS_SQL}, s AS (SELECT {_SEED_STATE} AS status, length(html) % 7 AS found, page_id % 11 AS scraped,
+  regexp_replace(host, '^www\\.', '') AS domain FROM url_parts)
+SELECT count(*) AS total, count_if(status = 'pending')::BIGINT AS pending, count_if(status = 'processing')::BIGINT AS processing,
+  count_if(status = 'completed')::BIGINT AS completed, count_if(status = 'failed')::BIGINT AS failed, count_if(status = 'skipped')::BIGINT AS skipped,
+  sum(CASE WHEN status = 'completed' THEN found END)::BIGINT AS companies_found,
+  sum(CASE WHEN status = 'completed' THEN scraped END)::BIGINT AS pages_scraped, count(DISTINCT domain) AS domains FROM s""",
+)
+def seed_stats(spark, sf_dir):
+    seeds = v.pages(spark, sf_dir).select(
+        F.expr(_SEED_STATE).alias("status"),
+        F.expr("length(html) % 7").alias("companies_found"),
+        F.expr("page_id % 11").alias("pages_scraped"),
+        urls.domain(F.col("url")).alias("domain"),
+    )
+    return crawl.seed_statistics(seeds)
+
+
+_ROBOTS_TEXT = """concat('# made of the pages of the site\n', 'User-agent: *\nDisallow: /', lang, '/4\nAllow: /', lang, '/47\nCrawl-delay: ', n % 5,
+  '\nUser-agent: directory-bot\n', CASE WHEN n % 2 = 0 THEN 'Allow: /*/5\nDisallow: /*/5*.html$\nDisallow: /de' ELSE 'Disallow:' END, '\n')"""
+
+_ROBOTS_CHECK = """CASE WHEN n % 2 = 0 THEN (CASE WHEN regexp_matches(path, '^/.*/5') THEN true WHEN regexp_matches(path, '^/.*/5.*\\.html$') THEN false
+  WHEN regexp_matches(path, '^/de') THEN false ELSE true END) ELSE true END"""
+_ROBOTS_CHECK_ANY = """CASE WHEN starts_with(path, '/' || lang || '/47') THEN true WHEN starts_with(path, '/' || lang || '/4') THEN false ELSE true END"""
+
+
+def _robots_texts(spark, sf_dir):
+    """A robots text per origin, made of the languages and the number of its pages."""
+    u = F.col("url")
+    return (
+        v.pages(spark, sf_dir)
+        .select(urls.origin(u).alias("origin"), F.regexp_extract(u, r"^https?://[^/]*/([a-z]{2})/", 1).alias("lang"))
+        .groupBy("origin")
+        .agg(F.min("lang").alias("lang"), F.count("*").alias("n"))
+        .select("origin", F.expr(_ROBOTS_TEXT).alias("text"))
+    )
+
+
+_ROBOTS_SQL = f"""WITH {v.URL_PARTS_SQL}, o AS (SELECT scheme || '://' || host AS origin, min(regexp_extract(url, '^https?://[^/]*/([a-z][a-z])/', 1)) AS lang, count(*) AS n
+  FROM url_parts GROUP BY 1)
+SELECT page_id, %s AS allowed, %s AS crawl_delay FROM url_parts u JOIN o ON o.origin = u.scheme || '://' || u.host"""
+
+
+@query("robots_allowed", _ROBOTS_SQL % (_ROBOTS_CHECK, "0"))
+def robots_allowed(spark, sf_dir):
+    """May the directory's own agent fetch the page: its own rules hide the general ones."""
+    policy = crawl.robots_policy(crawl.robots_rules(_robots_texts(spark, sf_dir)), "directory-bot")
+    pages = v.pages(spark, sf_dir).select("page_id", "url")
+    return crawl.robots_allowed(pages, policy).select("page_id", "allowed", "crawl_delay")
+
+
+@query("robots_allowed_any", _ROBOTS_SQL % (_ROBOTS_CHECK_ANY, "(n % 5)::INTEGER"))
+def robots_allowed_any(spark, sf_dir):
+    """The same for an agent without rules of its own."""
+    policy = crawl.robots_policy(crawl.robots_rules(_robots_texts(spark, sf_dir)), "some-bot")
+    pages = v.pages(spark, sf_dir).select("page_id", "url")
+    return crawl.robots_allowed(pages, policy).select("page_id", "allowed", "crawl_delay")
+
+
+@query(
+    "fetch_plan",
+    f"""WITH {v.URL_PARTS_SQL}, p AS (SELECT page_id, regexp_replace(host, '^www\\.', '') AS domain, length(path) AS rank FROM url_parts),
+d AS (SELECT domain, CASE WHEN count(*) % 2 = 0 THEN count(*) * 100 END AS delay_ms FROM p GROUP BY 1)
+SELECT page_id, domain, row_number() OVER w AS position, (row_number() OVER w - 1) * coalesce(delay_ms, 2000) AS start_ms
+FROM p JOIN d USING (domain) WINDOW w AS (PARTITION BY domain ORDER BY rank, page_id)""",
+)
+def fetch_plan(spark, sf_dir):
+    """Start times of a polite crawl: shorter paths first, one delay per domain."""
+    p = v.pages(spark, sf_dir).select(
+        "page_id", urls.domain(F.col("url")).alias("domain"), F.length(urls.path(F.col("url"))).alias("rank")
+    )
+    delays = p.groupBy("domain").agg(F.expr("CASE WHEN count(*) % 2 = 0 THEN count(*) * 100 END").alias("delay_ms"))
+    out = crawl.fetch_plan(p.join(delays, "domain"), ["rank", "page_id"])
+    return out.select("page_id", "domain", "position", "start_ms")
