@@ -122,3 +122,53 @@ sites AS (
 
 def case_sql(value: str, order: list[tuple[str, int]], default: int) -> str:
     return "(CASE " + " ".join(f"WHEN {value} = '{k}' THEN {n}" for k, n in order) + f" ELSE {default} END)"
+
+
+# Company rows with gaps and faults, made of customers.  The expressions read the same in both dialects.
+RICH = {
+    "id": "'' || c_custkey",
+    "seq": "c_custkey",
+    "name_en": "CASE c_custkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'Test Company' WHEN 2 THEN 'X' WHEN 3 THEN '  ' ELSE c_name END",
+    "name_ar": "CASE c_custkey % 5 WHEN 0 THEN 'شركة ' || c_custkey WHEN 1 THEN 'Latin ' || c_custkey WHEN 2 THEN '' ELSE NULL END",
+    "business_type": "CASE c_custkey % 4 WHEN 0 THEN 'vendor' WHEN 1 THEN 'Trader' WHEN 2 THEN lower(c_mktsegment) ELSE NULL END",
+    "description_en": "CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ' goods of all kinds for the region' WHEN 1 THEN 'short' ELSE NULL END",
+    "description_ar": "CASE c_custkey % 6 WHEN 0 THEN 'وصف طويل للشركة ومنتجاتها وخدماتها رقم ' || c_custkey ELSE NULL END",
+    "email": "CASE c_custkey % 7 WHEN 0 THEN 'info@' || lower(replace(c_name, '#', '')) || '.com' WHEN 1 THEN 'broken@' WHEN 2 THEN '' ELSE NULL END",
+    "contact_email": "CASE c_custkey % 11 WHEN 0 THEN 'desk@example.org' ELSE NULL END",
+    "sales_email": "CASE c_custkey % 13 WHEN 0 THEN 'sales@example.org' WHEN 1 THEN 'sales at' ELSE NULL END",
+    "phone": "CASE c_custkey % 5 WHEN 0 THEN '+966 11 ' || (1000000 + c_custkey) WHEN 1 THEN '12' WHEN 2 THEN '05-' || (10000000 + c_custkey) ELSE NULL END",
+    "website_url": "CASE c_custkey % 4 WHEN 0 THEN 'https://www.' || lower(replace(c_name, '#', '')) || '.com/' WHEN 1 THEN 'no url' ELSE NULL END",
+    "logo_url": "CASE c_custkey % 9 WHEN 0 THEN 'https://img.example.org/' || c_custkey || '.png' ELSE NULL END",
+    "linkedin_url": "CASE c_custkey % 10 WHEN 0 THEN 'https://www.linkedin.com/company/' || c_custkey WHEN 1 THEN 'https://example.org/in' ELSE NULL END",
+    "full_address": "CASE c_custkey % 6 WHEN 0 THEN 'Saudi Arabia' WHEN 1 THEN 'Industrial Area, Gate ' || c_custkey ELSE NULL END",
+    "city": "CASE c_custkey % 5 WHEN 0 THEN 'Riyadh' WHEN 1 THEN 'Q' WHEN 2 THEN 'Sector 7' ELSE NULL END",
+    "city_id": "CASE c_custkey % 2 WHEN 0 THEN '1' ELSE NULL END",
+    "slug": "CASE c_custkey % 3 WHEN 0 THEN 'c-' || c_custkey ELSE NULL END",
+    "source_url": "'http://dir.example.org/list/' || c_nationkey || '/'",
+    "data_source": "CASE c_custkey % 2 WHEN 0 THEN 'directory' ELSE NULL END",
+    "cr_number": "CASE c_custkey % 8 WHEN 0 THEN '' || (1010000000 + c_custkey) ELSE NULL END",
+    "status": "CASE c_custkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'pending' ELSE 'rejected' END",
+    "is_verified": "c_custkey % 4 = 0",
+    "score": "CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 1.4 WHEN 2 THEN -0.2 ELSE (c_custkey % 100) / 100.0 END",
+    "categories_text": "CASE c_custkey % 5 WHEN 0 THEN 'Electrical|4| Unknown Category ' WHEN 1 THEN c_mktsegment WHEN 2 THEN 'chemicals|2' ELSE NULL END",
+    "products_text": "CASE c_custkey % 4 WHEN 0 THEN 'pump|  |valve' WHEN 1 THEN 'pipe' ELSE NULL END",
+    "segment": "c_mktsegment",
+    "balance": "c_acctbal",
+    "nation": "c_nationkey",
+}
+RICH_SQL = "rich AS (SELECT " + ", ".join(
+    f"({e})::DOUBLE AS {n}" if n == "score" else f"{e} AS {n}" for n, e in RICH.items()
+) + ", string_split(categories_text, '|') AS categories, string_split(products_text, '|') AS products FROM customer)"
+
+
+def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers dressed as company rows of uneven quality."""
+    df = table(spark, sf_dir, "customer").select(
+        *[F.expr(e).cast("double").alias(n) if n == "score" else F.expr(e).alias(n) for n, e in RICH.items()]
+    )
+    return df.withColumns(
+        {
+            "categories": F.split("categories_text", r"\|"),
+            "products": F.split("products_text", r"\|"),
+        }
+    )
