@@ -22,6 +22,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` standing for ``value``, which is worked out once per row."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def sql_on(column: Column, name: str, body: str) -> Column:
+    """Expression written as SQL text over one column, under the given name.
+
+    Long expressions are quicker to hand over as one text than node by node.
+    """
+    return F.get(F.call_function("transform", F.array(column), F.expr(f"{name} -> {body}")), F.lit(0))
+
+
 def trim_blanks(c: Column) -> Column:
     """Strip every kind of Unicode blank from both ends."""
     return F.regexp_replace(c, f"^[{BLANKS}]+|[{BLANKS}]+$", "")

@@ -17,150 +17,119 @@ from tradebook.functions.fixed_values import (
     SOCIAL_PATTERNS,
     TRACKING_KEYS,
 )
-from tradebook.functions.semantics import blank_to_null, let, trim_blanks
+from tradebook.functions.semantics import BLANKS, blank_to_null, let, let_sql, sql_on
 
+# Fixed patterns.  Group 1 of _VALID and _SITE is the host.
 _PARTS = r"^(?i:(https?))://([^/?#\\]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
-# group 1 is the host
-_VALID = r"^(?i:https?)://(?:[^/?#\\]*@)?([^\s/?#\\@:<>^|%\[\]`{}\"]+)(?::\d*)?(?:[/?#]|$)"
+_HOST = r"""(?:[^/?#\\]*@)?([^\s/?#\\@:<>^|%\[\]`{}"]+)"""
+_VALID = rf"^(?i:https?)://{_HOST}(?::\d*)?(?:[/?#]|$)"
 _PORT = r"^(?i:https?)://[^/?#\\]*:(\d+)(?:[/?#]|$)"
-_SITE = r"^\s*(?:https?://)?(?:[^/?#\\]*@)?([^\s/?#\\@:<>^|%\[\]`{}\"]+)(?::\d*)?(?:[/?#]|\s*$)"
+_SITE = rf"^\s*(?:https?://)?{_HOST}(?::\d*)?(?:[/?#]|\s*$)"
 _PATH = r"^\s*(?:https?://)?[^/?#\\]+([^?#]*)"
 _SAFE_PATH = r"^[\x21\x23-\x3b\x3d\x40-\x5d\x5f\x61-\x7a\x7c\x7e]*$"
+_TRACKED = "^(?i:" + "|".join(TRACKING_KEYS) + ")$"
 
 
-def with_scheme(url: Column) -> Column:
-    """Trim, then put https:// in front when no http(s) scheme is there."""
-    return let(
-        trim_blanks(url),
-        lambda u: F.when(u == "", None).when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit("https://"), u)),
-    )
+# --- pieces of SQL text ---------------------------------------------------------------------
 
 
-def parse(url: Column) -> Column:
-    """Struct(scheme, userinfo, host, port, path, query, fragment) of an absolute http(s) URL, or null.
+def _trimmed(x: str) -> str:
+    return f"regexp_replace({x}, r'^[{BLANKS}]+|[{BLANKS}]+$', '')"
 
-    host is lower case; a port equal to the scheme's default is dropped; path is
-    at least '/'; query and fragment keep their leading mark.
-    """
 
-    def build(u: Column) -> Column:
-        return F.when(
-            u.rlike(_VALID),
-            F.struct(
-                F.lower(F.regexp_extract(u, _PARTS, 1)).alias("scheme"),
-                F.regexp_extract(u, r"^[^/]*//([^/?#\\]*@)", 1).alias("userinfo"),
-                F.lower(F.regexp_extract(u, _VALID, 1)).alias("host"),
-                F.regexp_extract(u, _PORT, 1).alias("port"),
-                F.regexp_extract(u, _PARTS, 3).alias("raw_path"),
-                F.regexp_extract(u, _PARTS, 4).alias("raw_query"),
-                F.regexp_extract(u, _PARTS, 5).alias("fragment"),
-            ),
-        )
+def _absolute(x: str) -> str:
+    """Trimmed, with https:// in front when no http(s) scheme is there."""
+    body = "CASE WHEN t = '' THEN NULL WHEN t RLIKE '^https?://' THEN t ELSE concat('https://', t) END"
+    return let_sql(_trimmed(x), "t", body)
 
-    def tidy(p: Column) -> Column:
-        default = F.when(p["scheme"] == "http", "80").otherwise("443")
-        return F.when(
-            p.isNotNull(),
-            F.struct(
-                p["scheme"].alias("scheme"),
-                p["userinfo"].alias("userinfo"),
-                p["host"].alias("host"),
-                F.when(p["port"] == default, "").otherwise(p["port"]).alias("port"),
-                F.when(p["raw_path"] == "", "/").otherwise(_escape(_fold_if_dotted(p["raw_path"]))).alias("path"),
-                F.when(p["raw_query"] == "?", "").otherwise(p["raw_query"]).alias("query"),
-                p["fragment"].alias("fragment"),
-            ),
-        )
 
-    return let(let(url, build), tidy)
-
-
-def _escape(path: Column) -> Column:
+def _escaped(x: str) -> str:
     """Percent-encode what a URL path may not hold; the usual all-safe path is passed through."""
+    one = f"CASE WHEN ch RLIKE r'{_SAFE_PATH}' THEN ch ELSE replace(url_encode(ch), '+', '%20') END"
+    body = f"CASE WHEN e RLIKE r'{_SAFE_PATH}' THEN e ELSE array_join(transform(split(e, ''), ch -> {one}), '') END"
+    return let_sql(x, "e", body)
 
-    def encode(ch: Column) -> Column:
-        return F.when(ch.rlike(_SAFE_PATH), ch).otherwise(F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20")))
 
-    return let(
-        path,
-        lambda p: F.when(p.rlike(_SAFE_PATH), p).otherwise(F.array_join(F.transform(F.split(p, ""), encode), "")),
+def _folded(x: str) -> str:
+    """Remove '.' and '..' segments of an absolute path; paths without them are passed through."""
+    step = (
+        "CASE WHEN seg = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) WHEN seg = '.' THEN acc "
+        "ELSE concat(acc, array(seg)) END"
     )
+    segments = "slice(split(f, '/'), 2, greatest(size(split(f, '/')) - 1, 0))"
+    joined = f"concat('/', array_join(aggregate({segments}, cast(array() AS array<string>), (acc, seg) -> {step}), '/'))"
+    closed = rf"CASE WHEN f RLIKE r'/\.{{1,2}}$' THEN regexp_replace(concat({joined}, '/'), '//$', '/') ELSE {joined} END"
+    return let_sql(x, "f", rf"CASE WHEN f RLIKE r'/\.{{1,2}}(/|$)' THEN {closed} ELSE f END")
 
 
-def _fold_if_dotted(path: Column) -> Column:
-    return let(path, lambda p: F.when(p.rlike(r"/\.{1,2}(/|$)"), fold_dots(p)).otherwise(p))
-
-
-def fold_dots(path: Column) -> Column:
-    """Remove '.' and '..' segments of an absolute path."""
+def _parsed(x: str) -> str:
+    """struct(scheme, userinfo, host, port, path, query, fragment) of an absolute http(s) URL, or null.
 
-    def fold(segments: Column) -> Column:
-        return F.aggregate(
-            F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))),
-            F.array().cast("array<string>"),
-            lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(s == ".", acc)
-            .otherwise(F.concat(acc, F.array(s))),
-        )
-
-    folded = F.concat(F.lit("/"), F.array_join(let(F.split(path, "/"), fold), "/"))
-    return F.when(path.rlike(r"/\.{1,2}$"), F.regexp_replace(F.concat(folded, F.lit("/")), "//$", "/")).otherwise(folded)
+    host is lower case; a port equal to the scheme's default is ''; path is at
+    least '/'; query and fragment keep their leading mark.
+    """
+    raw = rf"""CASE WHEN u RLIKE r'{_VALID}' THEN named_struct(
+      'scheme', lower(regexp_extract(u, r'{_PARTS}', 1)),
+      'userinfo', regexp_extract(u, r'^[^/]*//([^/?#\\]*@)', 1),
+      'host', lower(regexp_extract(u, r'{_VALID}', 1)),
+      'port', regexp_extract(u, r'{_PORT}', 1),
+      'path', regexp_extract(u, r'{_PARTS}', 3),
+      'query', regexp_extract(u, r'{_PARTS}', 4),
+      'fragment', regexp_extract(u, r'{_PARTS}', 5)) END"""
+    tidy = f"""CASE WHEN w IS NOT NULL THEN named_struct(
+      'scheme', w.scheme, 'userinfo', w.userinfo, 'host', w.host,
+      'port', CASE WHEN w.port = if(w.scheme = 'http', '80', '443') THEN '' ELSE w.port END,
+      'path', CASE WHEN w.path = '' THEN '/' ELSE {_escaped(_folded("w.path"))} END,
+      'query', if(w.query = '?', '', w.query), 'fragment', w.fragment) END"""
+    return let_sql(let_sql(x, "u", raw), "w", tidy)
+
+
+def _decoded(x: str) -> str:
+    return f"coalesce(try_url_decode({x}), {x})"
+
+
+def _query(x: str, sort: bool) -> str:
+    """Query with tracking keys out, values re-encoded form-style, keys sorted on demand."""
+    key = _decoded("regexp_extract(kv, r'^([^=]*)', 1)")
+    value = _decoded(r"regexp_extract(kv, r'^[^=]*=([\s\S]*)$', 1)")
+    pairs = f"filter(split(substring({x}, 2), '&'), kv -> kv <> '' AND NOT {key} RLIKE r'{_TRACKED}')"
+    rows = f"transform({pairs}, (kv, i) -> named_struct('k', lower({key}), 'i', i, 'key', {key}, 'value', {value}))"
+    if sort:
+        rows = f"array_sort({rows})"
+    text = f"array_join(transform({rows}, kv -> concat(url_encode(kv.key), '=', url_encode(kv.value))), '&')"
+    mark = let_sql(text, "q", "if(q = '', q, concat('?', q))")
+    return f"CASE WHEN {x} = '' THEN '' ELSE {mark} END"
 
 
-def _decode(c: Column) -> Column:
-    return F.coalesce(F.try_url_decode(c), c)
+def _assembled(p: str, scheme: str, host: str, port: str, path: str, query: str) -> str:
+    return (
+        f"CASE WHEN {p} IS NOT NULL THEN concat({scheme}, '://', {p}.userinfo, {host}, "
+        f"if({port} = '', '', concat(':', {port})), {path}, {query}, {p}.fragment) END"
+    )
 
 
-def clean_query(query: Column, sort: bool) -> Column:
-    """Query with tracking keys out, values re-encoded form-style, keys sorted on demand."""
-    pairs = F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda p: p != "")
-    parsed = F.transform(
-        pairs,
-        lambda p, i: F.struct(
-            _decode(F.regexp_extract(p, r"^([^=]*)", 1)).alias("key"),
-            i.alias("pos"),
-            _decode(F.regexp_extract(p, r"^[^=]*=([\s\S]*)$", 1)).alias("value"),
-        ),
-    )
-    kept = F.filter(parsed, lambda s: ~F.lower(s["key"]).isin(*TRACKING_KEYS))
-    if sort:
-        kept = F.array_sort(
-            F.transform(
-                kept,
-                lambda s: F.struct(
-                    F.lower(s["key"]).alias("folded"), s["pos"].alias("pos"), s["key"].alias("key"), s["value"].alias("value")
-                ),
-            )
-        )
-    text = F.array_join(
-        F.transform(kept, lambda s: F.concat(F.url_encode(s["key"]), F.lit("="), F.url_encode(s["value"]))), "&"
-    )
-    cleaned = let(text, lambda t: F.when(t == "", F.lit("")).otherwise(F.concat(F.lit("?"), t)))
-    return F.when(query == "", F.lit("")).otherwise(cleaned)
-
-
-def _assemble(p: Column, scheme: Column, host: Column, port: Column, path: Column, query: Column) -> Column:
-    return F.when(
-        p.isNotNull(),
-        F.concat(
-            scheme,
-            F.lit("://"),
-            p["userinfo"],
-            host,
-            F.when(port == "", F.lit("")).otherwise(F.concat(F.lit(":"), port)),
-            path,
-            query,
-            p["fragment"],
-        ),
-    )
+_NO_WWW = r"regexp_replace(p.host, r'^www\.', '')"
+_NO_SLASH = "if(length(p.path) > 1, regexp_replace(p.path, '/$', ''), p.path)"
+_CANONICAL = let_sql(
+    _parsed(_absolute("v")), "p",
+    _assembled("p", "'https'", _NO_WWW, "if(p.port = '443', '', p.port)", _NO_SLASH, _query("p.query", True)),
+)
+_NORMAL = let_sql(
+    _parsed(_absolute("v")), "p",
+    _assembled("p", "p.scheme", _NO_WWW, "p.port", _NO_SLASH, _query("p.query", False)),
+)
+_UNTRACKED = let_sql(
+    _parsed(_absolute("v")), "p",
+    _assembled("p", "p.scheme", "p.host", "p.port", "p.path", _query("p.query", False)),
+)
 
 
-def _strip_www(host: Column) -> Column:
-    return F.regexp_replace(host, r"^www\.", "")
+# --- columns ----------------------------------------------------------------------------------
 
 
-def _strip_slash(path: Column) -> Column:
-    return F.when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
+def parse(url: Column) -> Column:
+    """struct(scheme, userinfo, host, port, path, query, fragment); a missing scheme is supplied; null when invalid."""
+    return sql_on(url, "v", _parsed(_absolute("v")))
 
 
 def canonical_url(url: Column) -> Column:
@@ -169,33 +138,17 @@ def canonical_url(url: Column) -> Column:
     The fragment and a non-default port stay.  Tracking keys are compared in
     lower case on both sides, so mixed-case ones are dropped too.
     """
-
-    def build(p: Column) -> Column:
-        port = F.when(p["port"] == "443", "").otherwise(p["port"])
-        return _assemble(
-            p, F.lit("https"), _strip_www(p["host"]), port, _strip_slash(p["path"]), clean_query(p["query"], True)
-        )
-
-    return let(parse(with_scheme(url)), build)
+    return sql_on(url, "v", _CANONICAL)
 
 
 def normal_url(url: Column) -> Column:
     """As ``canonical_url`` but keeps the protocol and the order of parameters."""
-    return let(
-        parse(with_scheme(url)),
-        lambda p: _assemble(
-            p, p["scheme"], _strip_www(p["host"]), p["port"], _strip_slash(p["path"]), clean_query(p["query"], False)
-        ),
-    )
+    return sql_on(url, "v", _NORMAL)
 
 
 def untracked_url(url: Column) -> Column:
     """Only tracking keys are removed; an unparsable value is returned as is."""
-    cleaned = let(
-        parse(with_scheme(url)),
-        lambda p: _assemble(p, p["scheme"], p["host"], p["port"], p["path"], clean_query(p["query"], False)),
-    )
-    return F.coalesce(cleaned, url)
+    return sql_on(url, "v", f"coalesce({_UNTRACKED}, v)")
 
 
 def same_url(a: Column, b: Column) -> Column:
@@ -205,12 +158,12 @@ def same_url(a: Column, b: Column) -> Column:
 
 def comparable_url(url: Column) -> Column:
     """Canonical form, else the lower-cased text; '' for nothing."""
-    return F.coalesce(canonical_url(url), F.lower(trim_blanks(url)), F.lit(""))
+    return sql_on(url, "v", f"CASE WHEN v IS NULL OR v = '' THEN '' ELSE coalesce({_CANONICAL}, lower({_trimmed('v')})) END")
 
 
 def domain(url: Column) -> Column:
     """Lower-case host without www.; the scheme may be missing.  One pattern, no parsing."""
-    return blank_to_null(_strip_www(F.lower(F.regexp_extract(url, _SITE, 1))))
+    return blank_to_null(F.regexp_replace(F.lower(F.regexp_extract(url, _SITE, 1)), r"^www\.", ""))
 
 
 def host(url: Column) -> Column:
@@ -239,31 +192,28 @@ def is_absolute_url(url: Column) -> Column:
     return F.coalesce(url.rlike(_VALID), F.lit(False))
 
 
-def resolve(relative: Column, base: Column) -> Column:
-    """Absolute form of a link found on ``base``; an unresolvable link is returned as is."""
+_ROOT = "concat(l.b.scheme, '://', l.b.userinfo, l.b.host, if(l.b.port = '', '', concat(':', l.b.port)))"
+_OWN = let_sql(_parsed("l.r"), "o", _assembled("o", "o.scheme", "o.host", "o.port", "o.path", "o.query"))
+_REL_PATH, _REL_TAIL = r"regexp_extract(l.r, r'^([^?#]*)', 1)", r"regexp_extract(l.r, r'^[^?#]*([\s\S]*)$', 1)"
+_FOLDER = "regexp_replace(l.b.path, r'[^/]*$', '')"
+_RESOLVED = let_sql(
+    f"named_struct('r', {_trimmed('x.r')}, 'b', {_parsed('x.base')}, 'raw', x.r)", "l",
+    f"""coalesce(CASE WHEN l.raw IS NULL THEN NULL
+      WHEN l.r RLIKE '^(?i:https?)://' THEN {_OWN}
+      WHEN l.r RLIKE '^[A-Za-z][A-Za-z0-9+.-]*:' THEN l.r
+      WHEN l.b IS NULL THEN l.raw
+      WHEN l.r = '' THEN concat({_ROOT}, l.b.path, l.b.query)
+      WHEN startswith(l.r, '//') THEN concat(l.b.scheme, ':', l.r)
+      WHEN startswith(l.r, '/') THEN concat({_ROOT}, {_escaped(_folded(_REL_PATH))}, {_REL_TAIL})
+      WHEN startswith(l.r, '?') THEN concat({_ROOT}, l.b.path, l.r)
+      WHEN startswith(l.r, '#') THEN concat({_ROOT}, l.b.path, l.b.query, l.r)
+      ELSE concat({_ROOT}, {_escaped(_folded(f"concat({_FOLDER}, {_REL_PATH})"))}, {_REL_TAIL}) END, l.raw)""",
+)
 
-    def join(both: Column) -> Column:
-        r, b = both["r"], both["b"]
-        port = F.when(b["port"] == "", F.lit("")).otherwise(F.concat(F.lit(":"), b["port"]))
-        root = F.concat(b["scheme"], F.lit("://"), b["userinfo"], b["host"], port)
-        folder = F.regexp_replace(b["path"], r"[^/]*$", "")
-        r_path = F.regexp_extract(r, r"^([^?#]*)", 1)
-        r_tail = F.regexp_extract(r, r"^[^?#]*([\s\S]*)$", 1)
-        return (
-            F.when(r.rlike("^(?i:https?)://"), let(parse(r), lambda o: _assemble(
-                o, o["scheme"], o["host"], o["port"], o["path"], o["query"])))
-            .when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), r)
-            .when(b.isNull(), None)
-            .when(r == "", F.concat(root, b["path"], b["query"]))
-            .when(r.startswith("//"), F.concat(b["scheme"], F.lit(":"), r))
-            .when(r.startswith("/"), F.concat(root, _escape(_fold_if_dotted(r_path)), r_tail))
-            .when(r.startswith("?"), F.concat(root, b["path"], r))
-            .when(r.startswith("#"), F.concat(root, b["path"], b["query"], r))
-            .otherwise(F.concat(root, _escape(_fold_if_dotted(F.concat(folder, r_path))), r_tail))
-        )
 
-    both = F.struct(trim_blanks(relative).alias("r"), parse(base).alias("b"))
-    return F.when(relative.isNotNull(), F.coalesce(let(both, join), relative))
+def resolve(relative: Column, base: Column) -> Column:
+    """Absolute form of a link found on ``base``; an unresolvable link is returned as is."""
+    return sql_on(F.struct(relative.alias("r"), base.alias("base")), "x", _RESOLVED)
 
 
 def website_from_name(name: Column) -> Column:

@@ -175,9 +175,13 @@ def identity_key(fallback_source: Column | None = None) -> Column:
 
 
 def first_per_identity(df: DataFrame, order: str, fallback_source: Column | None = None) -> DataFrame:
-    """In-batch deduplication; rows without any key are dropped."""
-    keyed = df.withColumn("_identity", identity_key(fallback_source)).where("_identity is not null")
-    return top_per_key(keyed, ["_identity"], [order]).drop("_identity")
+    """In-batch deduplication, with the key kept as ``identity``; rows without any key are dropped.
+
+    The key is exploded out of an array of at most one element, so the filter on
+    it does not work it out a second time.
+    """
+    keyed = df.withColumn("identity", F.explode(F.array_compact(F.array(identity_key(fallback_source)))))
+    return top_per_key(keyed, ["identity"], [order])
 
 
 def match_existing(new: DataFrame, stored: DataFrame, order: str, fallback_source: Column | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Loads every query module, so that the registry is complete."""
 
-from tradebook.plans import record_queries, sites, table_queries, texts  # noqa: F401
+from tradebook.plans import dedupe_queries, record_queries, sites, table_queries, texts  # noqa: F401
 from tradebook.plans.registry import QUERIES, TWINS
 
 __all__ = ["QUERIES", "TWINS"]

@@ -184,7 +184,7 @@ SELECT min(id) AS id, identity FROM i GROUP BY identity""",
 def first_seen(spark, sf_dir):
     """The first record of every identity of a batch."""
     c = _candidates(spark, sf_dir)
-    return tb.first_per_identity(c, "id").select("id", tb.identity_key().alias("identity"))
+    return tb.first_per_identity(c, "id").select("id", "identity")
 
 
 @query(
