@@ -290,3 +290,65 @@ MAIN_CONTENT_SELECTORS = [
 SIDE_TAGS = ["aside", "nav", "footer", "header"]
 SIDE_CLASSES = ["sidebar", "widget", "menu", "navigation", "nav", "breadcrumb"]
 HIDDEN_TAGS = ["script", "style", "nav", "footer", "header", "iframe", "noscript", "svg"]
+
+PROFILE_NAME_ORDER = ["h3", "h2", "h4"]
+
+# site family -> (words of which the address must hold one, further words, score with a further word, score without)
+SITE_FAMILIES = [
+    ("estate_portal", ["modon.gov.sa"], ["/factories", "/partners"], 0.97, 0.85),
+    ("chamber", ["chamber", "chamber.sa", "mcci", "chamber.org.sa", "fsc.org.sa"], [], 0.95, 0.95),
+    ("chamber", [".sa"], ["/member", "/directory", "/business", "/companies", "/factories"], 0.7, 0.0),
+    (
+        "registry", [".gov.sa", "monshaat.gov.sa"],
+        ["/companies", "/business", "/registry", "/register", "/cr", "/commercial", "/license", "/member"], 0.95, 0.8,
+    ),
+    (
+        "b2b_portal",
+        [
+            "saudiexporters.com", "saudibusiness.com", "sauditraders.com", "industry.com.sa", "kompass.com", "alibaba.com",
+            "made-in-china.com", "globalsources.com", "ec21.com", "tradekey.com", "exportersindia.com",
+            "saudiyellowpages.com", "saudibusinessdirectory.com",
+        ],
+        [], 0.9, 0.9,
+    ),
+    ("b2b_portal", ["/companies/", "/suppliers/", "/manufacturers/", "/vendors/", "/business-directory"], [], 0.6, 0.6),
+    ("directory", ["ksa.directory", "saudidir.com"], [], 0.95, 0.95),
+    ("world_listing", ["cybo.com"], [], 0.95, 0.95),
+    ("mideast_listing", ["bizmideast.com"], [], 0.95, 0.95),
+    ("industry_guide", ["saudiindustryguide.com"], [], 0.95, 0.95),
+]
+GENERIC_SCORE = 0.05
+MODEL_SCORE = 0.02
+
+B2B_CARD_CLASSES = [
+    "company-card", "supplier-card", "manufacturer-card", "vendor-card", "business-card", "listing-card",
+    "company-item", "supplier-item", "manufacturer-item", "company-listing", "supplier-listing", "manufacturer-listing",
+    "result-item", "search-result", "company-result", "company-box", "supplier-box", "manufacturer-box",
+    "col-company", "company-col",
+]
+DIRECTORY_CARD_CLASSES = [
+    "company-card", "business-card", "listing-card", "company-item", "business-item", "listing-item",
+    "result-item", "search-result", "company-box", "business-box", "company-listing", "business-listing",
+]
+LABELLED_CARD_CLASSES = [
+    "company-card", "member-card", "business-card", "company-item", "member-item", "listing-item", "card-pro", "blog_post",
+]
+LABEL_WORDS = ["المصنع", "الاسم", "الشركة", "المنشأة"]
+REGISTRY_WORDS = ["السجل", "رقم", "الضريبي"]
+PORTAL_CARD_CLASSES = ["ms-List-cell", "ms-DetailsRow", "ms-TilesList-cell"]
+PORTAL_CARD_PARTS = ["factory-card", "factoryCard", "Factory", "company-card", "CompanyCard"]
+PORTAL_ZONE_IDS = ["DeltaPlaceHolderMain", "ctl00_PlaceHolderMain", "WebPartWPQ1", "WebPartWPQ2"]
+NAVIGATION_WORDS = [
+    "home", "about", "contact", "search", "login", "sign in", "sign up",
+    "english", "arabic", "ar", "en", "sitemap", "privacy", "terms",
+    "الرئيسية", "عن", "تواصل", "بحث", "دخول",
+]
+HEADING_WORDS = [
+    "factories", "factory", "companies", "partners", "our partners",
+    "search", "filter", "results", "list", "directory", "industrial",
+    "المصانع", "الشركاء", "بحث", "نتائج", "قائمة",
+]
+SECTION_SKIP = (
+    r"(?i)^(select page|saudi industry guide|products?|services?|our mission|mission|vision|about|contact)$"
+    r"|^(المنتجات|منتجات|الخدمات|خدمات|رسالتنا|عن\s+الشركة|اتصل\s+بنا)$"
+)

@@ -90,6 +90,11 @@ def round_half_up(c: Column, digits: int = 2) -> Column:
     return F.floor(c.cast("double") * scale + 0.5).cast("double") / F.lit(scale)
 
 
+def millis(ts: Column) -> Column:
+    """Milliseconds since the epoch of a timestamp with or without zone."""
+    return F.unix_millis(ts.cast("timestamp"))
+
+
 def flag(cond: Column) -> Column:
     """1 when the condition holds, 0 when it is false or null."""
     return F.when(cond, 1).otherwise(0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradebook.functions import urls
+from tradebook.functions.semantics import millis
 from tradebook.operators.keys import numbered, top_per_key
 
 # --- robots ------------------------------------------------------------------------------------
@@ -165,7 +166,7 @@ def plan_retries(failures: DataFrame, as_of: Column, base_ms: int = 1000) -> Dat
             "status": F.when(dead, "dead_letter").otherwise("pending"),
             "wait_ms": F.when(~dead, wait),
             "scheduled_at": F.when(dead, as_of).otherwise(
-                F.timestamp_millis(F.unix_millis(as_of) + wait)
+                F.timestamp_millis(millis(as_of) + wait)
             ),
         }
     )

@@ -8,12 +8,12 @@ pair; groups are the connected components of all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradebook.functions import text as tx
 from tradebook.functions import urls
-from tradebook.functions.semantics import has_value, trim_blanks
+from tradebook.functions.semantics import has_value, let_sql, sql_on, trim_blanks
 from tradebook.functions.similarity import same_bare_name
 from tradebook.operators.keys import top_per_key
 from tradebook.session import checkpointed
@@ -37,11 +37,13 @@ def star_pairs(df: DataFrame, key: str, reason: Column, confidence: float) -> Da
 
 def _grams(name: Column) -> Column:
     """Triples of a name, the k-th repetition of a triple told from the first."""
-    every = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(name) - (_Q - 1), F.lit(1))), lambda i: F.substring(name, i, F.lit(_Q))
-    )
-    return F.transform(
-        every, lambda g, i: F.concat(g, F.size(F.filter(F.slice(every, 1, i + 1), lambda h: h == g)).cast("string"))
+    numbered = "transform(g, (t, i) -> concat(t, size(filter(slice(g, 1, i + 1), h -> h = t))))"
+    return sql_on(
+        name, "n",
+        let_sql(
+            f"transform(sequence(1, greatest(length(n) - {_Q - 1}, 1)), i -> substring(n, i, {_Q}))", "g",
+            f"CASE WHEN size(array_distinct(g)) = size(g) THEN transform(g, t -> concat(t, '1')) ELSE {numbered} END",
+        ),
     )
 
 
@@ -64,20 +66,22 @@ def similar_names(names: DataFrame, block: str | None = None) -> DataFrame:
     edits = F.floor(F.length("name") * (_MAX_DISTANCE_SHARE / (1 - _MAX_DISTANCE_SHARE)) + 1e-9)
     extra = F.floor(F.length("name") * _MAX_EXTRA_SHARE + 1e-9)
     need = F.greatest(_Q * edits, extra) + 1
-    by_rarity = Window.partitionBy(*blocks, "name").orderBy("df", "gram")
-    prefix = (
-        grams.join(weight, "gram")
-        .withColumn("pos", F.row_number().over(by_rarity))  # a name has few triples
-        .where(F.col("pos") <= need)
-        .select(*blocks, "gram", "name", F.length("name").alias("len"))
+    # the few triples of one name, rarest first
+    ordered = grams.join(weight, "gram").groupBy(*blocks, "name").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("_g"))
+    prefix = ordered.select(
+        *blocks, "name", F.transform(F.slice("_g", F.lit(1), need.cast("int")), lambda g: g["gram"]).alias("rare")
+    )
+    left = prefix.select(*blocks, F.col("name").alias("a"), F.col("rare").alias("rare_a"), F.explode("rare").alias("gram"))
+    right = prefix.select(*blocks, F.col("name").alias("b"), F.col("rare").alias("rare_b"), F.explode("rare").alias("gram"))
+    sizes = "least(length(a), length(b)) > greatest(length(a), length(b)) * %s" % (1 - _MAX_EXTRA_SHARE)
+    # a pair that shares several triples is looked at for the rarest one only
+    once = "array_intersect(rare_a, rare_b)[0] = gram"
+    alike = (
+        "(contains(a, b) OR contains(b, a) OR "
+        f"levenshtein(a, b, cast(floor(greatest(length(a), length(b)) * {_MAX_DISTANCE_SHARE}) AS int)) >= 0)"
     )
-    left = prefix.select(*blocks, "gram", F.col("name").alias("a"), F.col("len").alias("len_a"))
-    right = prefix.select(*blocks, "gram", F.col("name").alias("b"), F.col("len").alias("len_b"))
-    near = F.least("len_a", "len_b") > F.greatest("len_a", "len_b") * (1 - _MAX_EXTRA_SHARE)
-    limit = F.floor(F.greatest("len_a", "len_b") * _MAX_DISTANCE_SHARE).cast("int")
-    alike = F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")) | (F.levenshtein("a", "b") <= limit)
-    pairs = left.join(right, [*blocks, "gram"]).where((F.col("a") < F.col("b")) & near & alike)
-    scored = pairs.select(*blocks, "a", "b").distinct().withColumn("_s", same_bare_name(F.col("a"), F.col("b")))
+    pairs = left.join(right, [*blocks, "gram"]).where(F.expr(f"a < b AND {sizes} AND {alike} AND {once}"))
+    scored = pairs.select(*blocks, "a", "b", same_bare_name(F.col("a"), F.col("b")).alias("_s"))
     return scored.where("_s.is_match").select(*blocks, "a", "b", F.col("_s.confidence").alias("confidence"))
 
 
@@ -87,34 +91,46 @@ def duplicate_pairs(companies: DataFrame) -> DataFrame:
     Same domain .95; same profile address .9; similar name (match above .7) in the
     same city, match * .85; same name elsewhere, .95 * .7.
     """
-    keyed = companies.select(
-        "id",
-        urls.domain(F.col("website_url")).alias("domain"),
-        urls.canonical_url(F.when(F.col("linkedin_url") != "", F.col("linkedin_url"))).alias("linkedin"),
-        tx.bare_name(F.col("name_en")).alias("name"),
-        F.when(has_value(F.col("city")), F.lower("city")).alias("city"),
+    keyed = checkpointed(
+        companies.select(
+            "id",
+            urls.domain(F.col("website_url")).alias("domain"),
+            urls.canonical_url(F.when(F.col("linkedin_url") != "", F.col("linkedin_url"))).alias("linkedin"),
+            tx.bare_name(F.col("name_en")).alias("name"),
+            F.when(has_value(F.col("city")), F.lower("city")).alias("city"),
+        )
+    )
+    # every exact rule in one table of (rule, key, id): one grouping, one join
+    rules = F.array(
+        F.struct(F.lit(0.95).alias("confidence"), F.concat(F.lit("Same domain: "), F.col("domain")).alias("key")),
+        F.struct(F.lit(0.9).alias("confidence"), F.concat(F.lit("Same LinkedIn URL: "), F.col("linkedin")).alias("key")),
+        F.struct(
+            F.lit(0.95 * 0.85).alias("confidence"),
+            F.when(F.col("name") != "", F.concat(F.lit("Similar name (95%) + same city: "), "name", F.lit(", "), "city")).alias("key"),
+        ),
+        F.struct(
+            F.lit(0.95 * 0.7).alias("confidence"),
+            F.when(F.col("name") != "", F.concat(F.lit("Very similar name (95%): "), "name")).alias("key"),
+        ),
     )
-    domain = star_pairs(keyed, "domain", F.concat(F.lit("Same domain: "), F.col("domain")), 0.95)
-    linkedin = star_pairs(keyed, "linkedin", F.lit("Same LinkedIn URL"), 0.9)
-
-    percent = lambda c: F.format_string("%.0f", c * 100)
-    in_city = keyed.where("name <> '' and city is not null").withColumn("_k", F.concat_ws("\u0001", "name", "city"))
-    same_place = star_pairs(in_city, "_k", F.lit("Similar name (95%) + same city"), 0.95 * 0.85)
-    same_name = star_pairs(
-        keyed.groupBy("name", "city").agg(F.min("id").alias("id")), "name", F.lit("Very similar name (95%)"), 0.95 * 0.7
+    in_city = keyed.where("name <> '' and city is not null").groupBy("name", "city").agg(F.min("id").alias("first"))
+    rows = keyed.select("id", F.explode(rules).alias("_r")).select("id", "_r.key", "_r.confidence").where("key is not null")
+    firsts = rows.groupBy("confidence", "key").agg(F.min("id").alias("src"))
+    exact = rows.join(firsts, ["confidence", "key"]).where("id <> src").select(
+        "src", F.col("id").alias("dst"), F.col("key").alias("reason"), "confidence"
     )
-    firsts = in_city.groupBy("name", "city").agg(F.min("id").alias("first"))
-    near = similar_names(firsts.select("name", "city"), "city").where("confidence > 0.7")
+    percent = F.format_string("%.0f", F.col("confidence") * 100)
+    near = similar_names(in_city.select("name", "city"), "city").where("confidence > 0.7")
     similar = (
-        near.join(firsts.select("city", F.col("name").alias("a"), F.col("first").alias("_a")), ["city", "a"])
-        .join(firsts.select("city", F.col("name").alias("b"), F.col("first").alias("_b")), ["city", "b"])
+        near.join(in_city.select("city", F.col("name").alias("a"), F.col("first").alias("_a")), ["city", "a"])
+        .join(in_city.select("city", F.col("name").alias("b"), F.col("first").alias("_b")), ["city", "b"])
         .select(
             F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"),
-            F.concat(F.lit("Similar name ("), percent(F.col("confidence")), F.lit("%) + same city")).alias("reason"),
+            F.concat(F.lit("Similar name ("), percent, F.lit("%) + same city: "), "city").alias("reason"),
             (F.col("confidence") * 0.85).alias("confidence"),
         )
     )
-    every = domain.unionByName(linkedin).unionByName(same_place).unionByName(same_name).unionByName(similar)
+    every = exact.unionByName(similar)
     # a pair found by several rules keeps its strongest one
     best = every.groupBy("src", "dst").agg(F.max(F.struct("confidence", "reason")).alias("_m"))
     return best.select("src", "dst", "_m.reason", "_m.confidence")

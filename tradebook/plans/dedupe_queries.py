@@ -51,7 +51,7 @@ raw AS (
   SELECT f.src, k.id AS dst, 0.95::DOUBLE AS confidence FROM keyed k JOIN (SELECT domain, min(id) AS src FROM keyed WHERE domain <> '' GROUP BY 1) f USING (domain)
   UNION ALL SELECT f.src, k.id, 0.9::DOUBLE FROM keyed k JOIN (SELECT linkedin, min(id) AS src FROM keyed WHERE linkedin <> '' GROUP BY 1) f USING (linkedin)
   UNION ALL SELECT first_id, k.id, 0.8075::DOUBLE FROM keyed k JOIN nc USING (name, city)
-  UNION ALL SELECT f.src, nc.first_id, 0.665::DOUBLE FROM nc JOIN (SELECT name, min(first_id) AS src FROM nc GROUP BY 1) f USING (name)
+  UNION ALL SELECT f.src, k.id, 0.665::DOUBLE FROM keyed k JOIN (SELECT name, min(id) AS src FROM keyed GROUP BY 1) f USING (name)
   UNION ALL SELECT least(x, y), greatest(x, y), c * 0.85 FROM near WHERE c > 0.7),
 pairs AS (SELECT src, dst, max(confidence) AS confidence FROM raw WHERE src <> dst GROUP BY 1, 2)"""
 
