@@ -39,7 +39,7 @@ def _words(values: Sequence[str]) -> str:
 
 def _first_in(card: str, cond: str) -> str:
     """First element inside ``card`` with the condition on m."""
-    return f"get(filter(nodes, m -> {h.inside('m', card)} AND ({cond})), 0)"
+    return f"get(filter({h.within(card)}, m -> ({cond})), 0)"
 
 
 def _line_in(card: str, cond: str) -> str:
@@ -112,7 +112,7 @@ def cards(rule: CardRule) -> str:
             parts[key] = _line_in("k", getattr(rule, key))
     if rule.categories:
         parts["categories"] = (
-            f"array_distinct(filter(transform(filter(nodes, m -> {h.inside('m', 'k')} AND ({rule.categories})), o -> {h.line_of('o')}), "
+            f"array_distinct(filter(transform(filter({h.within('k')}, m -> ({rule.categories})), o -> {h.line_of('o')}), "
             "x -> length(x) > 1 AND length(x) < 50))"
         )
     if rule.registry:
@@ -166,7 +166,7 @@ PORTAL_CARDS = CardRule(
 def labelled_cards() -> str:
     """Cards whose paragraphs say 'label: value': name after a name label, digits after a registry label."""
     cond = h.has_class("n", *fv.LABELLED_CARD_CLASSES)
-    lines = f"transform(filter(nodes, m -> {h.inside('m', 'k')} AND m.tag = 'p'), o -> {h.line_of('o')})"
+    lines = f"transform(filter({h.within('k')}, m -> m.tag = 'p'), o -> {h.line_of('o')})"
     named = f"get(filter({lines}, x -> x RLIKE '{'|'.join(fv.LABEL_WORDS)}' AND contains(x, ':')), 0)"
     numbered = f"get(filter({lines}, x -> x RLIKE '{'|'.join(fv.REGISTRY_WORDS)}'), 0)"
     name = f"coalesce({_line_in('k', LABELLED_CARDS.names[0])}, nullif(trim(get(split({named}, ':'), 1)), ''))"
@@ -185,12 +185,12 @@ def labelled_cards() -> str:
 def tables() -> str:
     """Rows of tables with at least two rows: first cell is the name, its link the address."""
     good_table = (
-        f"t.tag = 'table' AND size(filter(nodes, x -> x.tag = 'tr' AND {h.inside('x', 't')})) >= 2 "
+        f"t.tag = 'table' AND size(filter({h.within('t')}, x -> x.tag = 'tr')) >= 2 "
         f"AND NOT lower({h.text_of('t')}) RLIKE 'navigation|footer'"
     )
-    rows = f"filter(nodes, k -> k.tag = 'tr' AND exists(nodes, t -> {good_table} AND {h.inside('k', 't')}))"
+    rows = f"flatten(transform(filter(nodes, t -> {good_table}), t -> filter({h.within('t')}, k -> k.tag = 'tr')))"
     cell = _first_in("k", "m.tag IN ('td', 'th')")
-    link = f"transform(array({cell}), c -> get(filter(nodes, l -> {h.inside('l', 'c')} AND l.tag = 'a' AND l.attrs['href'] IS NOT NULL), 0))[0]"
+    link = f"transform(array({cell}), c -> get(filter({h.within('c')}, l -> l.tag = 'a' AND l.attrs['href'] IS NOT NULL), 0))[0]"
     own = f"transform(array({cell}), o -> {h.line_of('o')})[0]"
     linked = f"transform(array({link}), o -> {h.line_of('o')})[0]"
     made = (
@@ -204,10 +204,10 @@ def tables() -> str:
 def listview_tables() -> str:
     """List view of a portal: first cell name and link, the other cells joined as description."""
     table = f"t.tag = 'table' AND ({h.has_class('t', 'ms-listviewtable')} OR lower(coalesce(t.attrs['class'], '')) RLIKE 'listview' OR t.id = 'onetidDoclibViewTbl0')"
-    rows = f"filter(nodes, k -> k.tag = 'tr' AND exists(nodes, t -> {table} AND {h.inside('k', 't')}))"
-    cells = f"filter(nodes, c -> c.tag = 'td' AND {h.inside('c', 'k')})"
+    rows = f"flatten(transform(filter(nodes, t -> {table}), t -> filter({h.within('t')}, k -> k.tag = 'tr')))"
+    cells = f"filter({h.within('k')}, c -> c.tag = 'td')"
     texts = f"filter(transform({cells}, o -> {h.line_of('o')}), x -> x <> '')"
-    link = f"transform(slice({cells}, 1, 1), c -> get(filter(nodes, l -> {h.inside('l', 'c')} AND l.tag = 'a'), 0))"
+    link = f"transform(slice({cells}, 1, 1), c -> get(filter({h.within('c')}, l -> l.tag = 'a'), 0))"
     name = f"coalesce(nullif(transform({link}, o -> {h.line_of('o')})[0], ''), get({texts}, 0))"
     made = _record("0", 0.8, name=name, link=f"get({link}, 0).attrs['href']",
                    description=f"nullif(array_join(slice({texts}, 2, 1000), ' | '), '')")
@@ -219,21 +219,21 @@ def registry_tables() -> str:
     table = (
         f"filter(nodes, t -> (t.tag = 'table' AND t.id IN ({_words(fv.REGISTRY_TABLE_IDS)})) OR {h.has_class('t', *fv.REGISTRY_TABLE_CLASSES)} OR t.id = 'search-results')"
     )
-    rows = f"filter(nodes, x -> x.tag = 'tr' AND {h.inside('x', 't')})"
-    heads = f"transform(filter(nodes, c -> c.tag IN ('th', 'td') AND {h.inside('c', 'rows[0]')}), o -> lower({h.line_of('o')}))"
+    rows = f"filter({h.within('t')}, x -> x.tag = 'tr')"
+    heads = f"transform(filter({h.within('rows[0]')}, c -> c.tag IN ('th', 'td')), o -> lower({h.line_of('o')}))"
 
     def role(name: str) -> str:
         words = dict(fv.HEADER_ROLES)[name]
         return f"array_position(transform(heads, w -> w RLIKE '{'|'.join(words)}'), true)"
 
-    cells = f"filter(nodes, c -> c.tag = 'td' AND {h.inside('c', 'k')})"
+    cells = f"filter({h.within('k')}, c -> c.tag = 'td')"
 
     def cell(position: str) -> str:
         return f"transform(array(get({cells}, cast({position} AS int) - 1)), o -> nullif({h.line_of('o')}, ''))[0]"
 
     at_name = f"if({role('name')} > 0, {role('name')}, 1)"
     pick = lambda r: f"CASE WHEN {role(r)} > 0 THEN {cell(role(r))} END"
-    link = f"transform(array(get({cells}, cast({at_name} AS int) - 1)), c -> get(filter(nodes, l -> {h.inside('l', 'c')} AND l.tag = 'a'), 0).attrs['href'])[0]"
+    link = f"transform(array(get({cells}, cast({at_name} AS int) - 1)), c -> get(filter({h.within('c')}, l -> l.tag = 'a'), 0).attrs['href'])[0]"
     made = _record(
         "0", 0.85, name=cell(at_name), link=link, description=pick("activity"), city=pick("location"), registry=pick("registry"),
         categories=f"filter(array({pick('activity')}), x -> x IS NOT NULL)",
@@ -248,8 +248,8 @@ def registry_tables() -> str:
 
 def linked_lists() -> str:
     """Items of lists with three and more items, half of them linked."""
-    items = f"filter(nodes, i -> i.tag = 'li' AND {h.inside('i', 't')})"
-    linked = f"filter({items}, i -> exists(nodes, l -> l.tag = 'a' AND l.attrs['href'] IS NOT NULL AND {h.inside('l', 'i')}))"
+    items = f"filter({h.within('t')}, i -> i.tag = 'li')"
+    linked = f"filter({items}, i -> exists({h.within('i')}, l -> l.tag = 'a' AND l.attrs['href'] IS NOT NULL))"
     good = f"t.tag IN ('ul', 'ol') AND size({items}) >= 3 AND size({linked}) >= size({items}) * 0.5"
     per = f"transform({items}, k -> {_record('0', 0.35, name=_line_in('k', '''m.tag = 'a' AND m.attrs['href'] IS NOT NULL'''), link=_first_in('k', '''m.tag = 'a' AND m.attrs['href'] IS NOT NULL''') + '''.attrs['href']''')})"
     made = f"flatten(transform(filter(nodes, t -> {good}), t -> {per}))"
@@ -258,7 +258,7 @@ def linked_lists() -> str:
 
 def definition_lists() -> str:
     """Terms of definition lists with two and more terms."""
-    terms = f"filter(nodes, i -> i.tag = 'dt' AND {h.inside('i', 't')})"
+    terms = f"filter({h.within('t')}, i -> i.tag = 'dt')"
     link = "m.tag = 'a' AND m.attrs['href'] IS NOT NULL"
     name = f"coalesce({_line_in('k', link)}, nullif({h.line_of('k')}, ''))"
     per = f"transform({terms}, k -> {_record('0', 0.3, name=name, link=_first_in('k', link) + '''.attrs['href']''')})"
@@ -270,7 +270,8 @@ def zone_links() -> str:
     """Links of the main zone of a portal that are neither navigation nor headings."""
     zone = f"a.id IN ({_words(fv.PORTAL_ZONE_IDS)}) OR a.tag = 'main' OR a.attrs['role'] = 'main' OR {h.has_class('a', 'ms-rtestate-field')}"
     made = _record("0", 0.65, name=h.line_of("k"), link="k.attrs['href']")
-    rows = f"transform(filter(nodes, k -> k.tag = 'a' AND k.attrs['href'] IS NOT NULL AND exists(nodes, a -> ({zone}) AND {h.inside('k', 'a')})), k -> {made})"
+    linked = f"flatten(transform(filter(nodes, a -> {zone}), a -> filter({h.within('a')}, k -> k.tag = 'a' AND k.attrs['href'] IS NOT NULL)))"
+    rows = f"transform({linked}, k -> {made})"
     good = (
         f"length(r.name) BETWEEN 3 AND 120 AND lower(r.name) NOT IN ({_words(fv.NAVIGATION_WORDS)}) AND lower(r.name) NOT IN ({_words(fv.HEADING_WORDS)}) "
         "AND NOT lower(r.link) RLIKE r'^(javascript:|mailto:|tel:|#|_layouts/|_catalogs/)' "
@@ -281,9 +282,9 @@ def zone_links() -> str:
 
 def value_cells() -> str:
     """Rows of a portal whose cells carry the value classes."""
-    cells = f"filter(nodes, c -> c.tag = 'td' AND {h.has_class('c', 'ms-vb2', 'ms-vb')} AND {h.inside('c', 'k')})"
+    cells = f"filter({h.within('k')}, c -> c.tag = 'td' AND {h.has_class('c', 'ms-vb2', 'ms-vb')})"
     texts = f"transform({cells}, o -> {h.line_of('o')})"
-    link = f"transform(slice({cells}, 1, 1), c -> get(filter(nodes, l -> {h.inside('l', 'c')} AND l.tag = 'a'), 0))"
+    link = f"transform(slice({cells}, 1, 1), c -> get(filter({h.within('c')}, l -> l.tag = 'a'), 0))"
     made = _record("0", 0.7, name=f"coalesce(nullif(transform({link}, o -> {h.line_of('o')})[0], ''), get({texts}, 0))",
                    link=f"get({link}, 0).attrs['href']", description=f"nullif(trim(array_join(slice({texts}, 2, 1000), ' | ')), '')")
     return f"filter(transform(filter(nodes, k -> k.tag = 'tr' AND size({cells}) > 0), k -> {made}), r -> length(r.name) >= 2)"
@@ -447,14 +448,9 @@ def main_root() -> str:
     return let_sql(found, "roots", f"coalesce(get(filter(roots, o -> length({h.line_of('o')}) > 80), 0), get(roots, 0))")
 
 
-def _side(node: str) -> str:
-    """The element belongs to a side block."""
-    return f"exists(nodes, a -> ({h.is_tag('a', *fv.SIDE_TAGS)} OR {h.has_class('a', *fv.SIDE_CLASSES)} OR a.id = 'sidebar') AND {node}.seq >= a.seq AND {node}.seq <= a.last)"
-
-
 def main_content(parsed: DataFrame) -> DataFrame:
     """(page_id, root_tag, main_text): text of the main element without its side blocks."""
-    blocks = f"filter(nodes, n -> {h.inside('n', 'root')} AND ({h.is_tag('n', *fv.SIDE_TAGS)} OR {h.has_class('n', *fv.SIDE_CLASSES)} OR n.id = 'sidebar'))"
+    blocks = f"filter({h.within('root')}, n -> ({h.is_tag('n', *fv.SIDE_TAGS)} OR {h.has_class('n', *fv.SIDE_CLASSES)} OR n.id = 'sidebar'))"
     outer = f"filter({blocks}, n -> NOT exists({blocks}, a -> {h.inside('n', 'a')}))"
     pieces = """transform(sequence(0, size(cuts)), i -> substring(text,
         if(i = 0, root.start, get(cuts, i - 1).start + get(cuts, i - 1).len) + 1,
@@ -463,13 +459,24 @@ def main_content(parsed: DataFrame) -> DataFrame:
     return parsed.select("page_id", F.expr(text).alias("_m")).select("page_id", "_m.root_tag", "_m.main_text")
 
 
+def with_main(parsed: DataFrame) -> DataFrame:
+    """Adds ``root``, the main element, and ``main``, its elements without side blocks."""
+    side = f"{h.is_tag('a', *fv.SIDE_TAGS)} OR {h.has_class('a', *fv.SIDE_CLASSES)} OR coalesce(a.id, '') = 'sidebar'"
+    main = (
+        f"transform(array(filter(nodes, a -> {side})), sides -> filter({h.within('root')}, "
+        "n -> NOT exists(sides, a -> n.seq >= a.seq AND n.seq <= a.last)))[0]"
+    )
+    return parsed.withColumn("root", F.expr(main_root())).withColumn("main", F.expr(main))
+
+
 def article_sections(parsed: DataFrame) -> DataFrame:
     """One record per heading section of the main content: heading to next heading, with labelled lines."""
-    heads = f"filter(nodes, n -> n.tag IN ('h2', 'h3', 'h4') AND ({h.inside('n', 'root')}) AND NOT {_side('n')} AND length({h.line_of('n')}) > 2)"
+    heads = f"filter(main, n -> n.tag IN ('h2', 'h3', 'h4') AND length({h.line_of('n')}) > 2)"
     make = f"""transform(heads, (k, i) -> named_struct('title', {h.line_of('k')},
         'from', k.start + k.len, 'upto', coalesce(get(heads, i + 1).start, root.start + root.len), 'seq', k.last, 'next', coalesce(get(heads, i + 1).seq, root.last + 1)))"""
-    sections = let_sql(main_root(), "root", let_sql(heads, "heads", make))
-    lines = f"filter(transform(filter(nodes, n -> n.seq > s.seq AND n.seq < s.next AND n.tag IN ('p', 'li', 'div') AND NOT {_side('n')}), o -> {h.line_of('o')}), x -> x <> '')"
+    sections = let_sql(heads, "heads", make)
+    lines = f"filter(transform(filter(main, n -> n.seq > s.seq AND n.seq < s.next AND n.tag IN ('p', 'li', 'div')), o -> {h.line_of('o')}), x -> x <> '')"
+    parsed = with_main(parsed)
     rows = parsed.select(
         "page_id", "url",
         F.posexplode(
@@ -514,8 +521,8 @@ def profiles(parsed: DataFrame) -> DataFrame:
     def one_line(sql: str) -> Column:
         return F.expr(f"transform(array({sql}), o -> {h.line_of('o')})[0]")
 
-    in_root = lambda cond: let_sql(main_root(), "root", f"get(filter(nodes, n -> n.seq >= root.seq AND n.seq <= root.last AND NOT {_side('n')} AND ({cond})), 0)")
-    base = parsed.select(
+    in_root = lambda cond: f"get(filter(main, n -> {cond}), 0)"
+    base = with_main(parsed).select(
         "page_id", "url",
         one_line(h.first_of("n.tag = 'h1'")).alias("_h1"), one_line(h.first_of("n.tag = 'title'")).alias("_doc"),
         F.expr(h.meta("og:title", "property")).alias("_og"),

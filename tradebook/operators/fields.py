@@ -87,13 +87,12 @@ def phones() -> Column:
 def social_links() -> Column:
     """platform -> first matching link."""
     hrefs = F.expr("transform(filter(nodes, n -> n.tag = 'a' AND n.attrs['href'] IS NOT NULL), a -> a.attrs['href'])")
-    entries = [
-        F.struct(
-            F.lit(p).alias("key"),
-            F.get(F.filter(F.transform(hrefs, lambda x, p=p: urls.social_url(x, p)), lambda x: x.isNotNull()), F.lit(0)).alias("value"),
-        )
-        for p, _ in fv.SOCIAL_PATTERNS
-    ]
+
+    def first_of_platform(platform: str) -> Column:
+        found = F.filter(F.transform(hrefs, lambda x: urls.social_url(x, platform)), lambda x: x.isNotNull())
+        return F.struct(F.lit(platform).alias("key"), F.get(found, F.lit(0)).alias("value"))
+
+    entries = [first_of_platform(p) for p, _ in fv.SOCIAL_PATTERNS]
     found = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
     return F.coalesce(_field(found, 0.85, "social_links", F.size(found) > 0), _empty("map<string,string>"))
 
@@ -133,8 +132,8 @@ def company_name() -> Column:
 def logo() -> Column:
     """Logo: images in logo containers, JSON-LD, og:image, icons; the first of the best kind."""
     usable = "c IS NOT NULL AND trim(c) <> '' AND NOT startswith(trim(c), 'data:') AND NOT lower(c) RLIKE 'pixel|tracker|spacer|blank|1x1|analytics'"
-    boxed = h.under(f"{h.has_class('a', 'logo', 'site-logo')} OR a.id = 'logo'")
-    images = f"transform({h.all_of(f'''n.tag = 'img' AND n.attrs['src'] IS NOT NULL AND {boxed}''')}, o -> o.attrs['src'])"
+    boxed = h.all_under("n.tag = 'img' AND n.attrs['src'] IS NOT NULL", f"{h.has_class('a', 'logo', 'site-logo')} OR a.id = 'logo'")
+    images = f"transform({boxed}, o -> o.attrs['src'])"
     ld = "array(coalesce(try_variant_get(ld, '$.logo.url', 'string'), try_variant_get(ld, '$.logo', 'string'), try_variant_get(ld, '$.image', 'string')))"
     og = f"array({h.meta('og:image', 'property')})"
     icons = "transform(filter(nodes, n -> n.tag = 'link' AND n.attrs['rel'] IN ('apple-touch-icon', 'icon', 'shortcut icon')), o -> o.attrs['href'])"
@@ -171,8 +170,8 @@ def website() -> Column:
 def team() -> Column:
     """Names and roles inside member blocks."""
     blocks = h.all_of(h.has_class("n", "team-member", "team-member-name", "person", "leader", "executive", "board-member"))
-    name = f"get(filter(nodes, m -> {h.inside('m', 'k')} AND ({h.is_tag('m', 'h1', 'h2', 'h3', 'h4', 'h5')} OR {h.has_class('m', 'name', 'member-name')})), 0)"
-    role = f"get(filter(nodes, m -> {h.inside('m', 'k')} AND {h.has_class('m', 'role', 'title', 'position', 'designation')}), 0)"
+    name = f"get(filter({h.within('k')}, m -> ({h.is_tag('m', 'h1', 'h2', 'h3', 'h4', 'h5')} OR {h.has_class('m', 'name', 'member-name')})), 0)"
+    role = f"get(filter({h.within('k')}, m -> {h.has_class('m', 'role', 'title', 'position', 'designation')}), 0)"
     members = F.expr(
         f"""filter(transform({blocks}, k -> named_struct(
               'name', transform(array({name}), o -> {h.line_of('o')})[0],

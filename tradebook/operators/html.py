@@ -170,6 +170,19 @@ def inside(node: str, ancestor: str) -> str:
     return f"{node}.seq > {ancestor}.seq AND {node}.seq <= {ancestor}.last"
 
 
+def within(ancestor: str) -> str:
+    """Descendants of an element: a slice, as elements stand in document order."""
+    return f"slice(nodes, {ancestor}.seq + 2, {ancestor}.last - {ancestor}.seq)"
+
+
+def all_under(cond: str, cond_on_a: str, n: str = "n") -> str:
+    """Elements with a condition that have an ancestor ``a`` with another; the ancestors are looked up once."""
+    return (
+        f"transform(array(filter(nodes, a -> {cond_on_a})), boxes -> "
+        f"filter(nodes, {n} -> ({cond}) AND exists(boxes, a -> {inside(n, 'a')})))[0]"
+    )
+
+
 def under(cond_on_a: str, node: str = "n") -> str:
     """An ancestor ``a`` with the condition exists."""
     return f"exists(nodes, a -> ({cond_on_a}) AND {inside(node, 'a')})"

@@ -58,7 +58,7 @@ def elements_count(spark, sf_dir):
 
 
 def _entities(x: str) -> str:
-    return f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    return f"replace(replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
 @query(
@@ -106,7 +106,7 @@ def page_descriptions(spark, sf_dir):
 @query(
     "page_links",
     rf"""WITH {v.URL_PARTS_SQL}, l AS (SELECT page_id, scheme || '://' || host AS root, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM url_parts)
-SELECT page_id, href, root || regexp_replace(url_encode(href), '%2F', '/', 'g') AS target FROM l""",
+SELECT page_id, href, root || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS target FROM l""",
 )
 def page_links(spark, sf_dir):
     """Every link with its absolute address; letters outside ASCII are percent-encoded."""
@@ -116,7 +116,7 @@ def page_links(spark, sf_dir):
 @query(
     "profile_links",
     rf"""WITH {v.URL_PARTS_SQL}, l AS (SELECT page_id, scheme || '://' || host AS root, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM url_parts)
-SELECT DISTINCT page_id, root || regexp_replace(url_encode(href), '%2F', '/', 'g') AS target FROM l""",
+SELECT DISTINCT page_id, root || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS target FROM l""",
 )
 def profile_links(spark, sf_dir):
     """Links one segment deep on the page's own host."""
@@ -452,7 +452,7 @@ def page_fields_full(spark, sf_dir):
 @query(
     "next_pages",
     f"""WITH p AS (SELECT DISTINCT p_partkey // {_PER_PAGE} AS page_id FROM part)
-SELECT page_id, unnest(['https://list.example.org/p/?page=2', 'https://list.example.org/next/' || page_id, 'https://list.example.org/p/3']) AS target FROM p""",
+SELECT page_id, unnest(['https://list.example.org/p/' || page_id || '?page=2', 'https://list.example.org/next/' || page_id, 'https://list.example.org/p/3']) AS target FROM p""",
 )
 def next_pages(spark, sf_dir):
     """Pagination links by element rules and by the shape of the address."""
@@ -490,8 +490,9 @@ def api_listing(spark, sf_dir):
     return ex.api_listing(pages, "https://vendors.example.org/").select("page_id", "name_en", "description_en", "source_url")
 
 
-@query("fallback_pages", "SELECT page_id FROM pages WHERE NOT regexp_matches(html, '<li><a href=\"[^\"]*\">[^<]{2,}</a></li>')")
+@query("fallback_pages", "SELECT page_id, url FROM pages WHERE NOT contains(html, '<table') AND NOT contains(html, '<dl')")
 def fallback_pages(spark, sf_dir):
-    """Pages the generic rules cannot read."""
+    """Pages that rules for cards, tables and definition lists cannot read."""
     parsed = _parsed(spark, sf_dir)
-    return ex.pages_without_records(parsed, ex.extract_records(parsed, ex.FAMILIES["generic"])).select("page_id")
+    found = ex.extract_records(parsed, ["json_ld", "cards", "table", "definitions"])
+    return ex.pages_without_records(parsed, found).select("page_id", "url")
