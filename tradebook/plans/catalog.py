@@ -1,6 +1,15 @@
 """Loads every query module, so that the registry is complete."""
 
-from tradebook.plans import dedupe_queries, metric_queries, page_queries, record_queries, sites, table_queries, texts  # noqa: F401
+from tradebook.plans import (  # noqa: F401
+    dedupe_queries,
+    metric_queries,
+    page_queries,
+    record_queries,
+    result_queries,
+    sites,
+    table_queries,
+    texts,
+)
 from tradebook.plans.registry import QUERIES, TWINS
 
 __all__ = ["QUERIES", "TWINS"]

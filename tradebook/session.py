@@ -49,3 +49,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tradebook-ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, which all executors share."""
+    import uuid
+
+    sc = spark.sparkContext
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="tradebook-scratch-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
