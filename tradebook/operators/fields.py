@@ -243,10 +243,10 @@ def harvested(parsed: DataFrame) -> DataFrame:
         F.coalesce(g("$.address.addressCountry.name"), g("$.address.addressCountry")).alias("country"),
         F.when(F.schema_of_variant(F.try_variant_get("item", "$.address", "variant")) == "STRING", g("$.address")).alias("full_address"),
         many("$.telephone").alias("phones"), many("$.email").alias("emails"),
-        F.element_at(F.filter(same_as, lambda u: u.contains("linkedin.com")), -1).alias("linkedin"),
-        F.element_at(F.filter(same_as, lambda u: u.contains("twitter.com") | u.contains("x.com")), -1).alias("twitter"),
-        F.element_at(F.filter(same_as, lambda u: u.contains("facebook.com")), -1).alias("facebook"),
-        F.element_at(F.filter(same_as, lambda u: u.contains("instagram.com")), -1).alias("instagram"),
+        F.try_element_at(F.filter(same_as, lambda u: u.contains("linkedin.com")), F.lit(-1)).alias("linkedin"),
+        F.try_element_at(F.filter(same_as, lambda u: u.contains("twitter.com") | u.contains("x.com")), F.lit(-1)).alias("twitter"),
+        F.try_element_at(F.filter(same_as, lambda u: u.contains("facebook.com")), F.lit(-1)).alias("facebook"),
+        F.try_element_at(F.filter(same_as, lambda u: u.contains("instagram.com")), F.lit(-1)).alias("instagram"),
     )
     first = lambda n: F.min_by(n, F.when(F.col(n).isNotNull(), F.col("o"))).alias(n)
     last = lambda n: F.max_by(n, F.when(F.col(n).isNotNull(), F.col("o"))).alias(n)
@@ -402,19 +402,23 @@ def fill_single_records(records: DataFrame, fields: DataFrame) -> DataFrame:
             lambda k, x: x > 0,
         ).alias("_conf"),
     )
-    out = records.join(page, "page_id", "left")
     pairs = {
         "description_en": "_description", "email": "_email", "phone": "_phone", "website_url": "_website",
         "logo_url": "_logo", "full_address": "_address",
     }
     have = [c for c in pairs if c in records.columns]
     taken = {c: (F.col(c).isNull() | (F.col(c) == "")) & F.col(pairs[c]).isNotNull() for c in have}
-    filled = {c: F.when(taken[c], F.col(pairs[c])).otherwise(F.col(c)) for c in have}
+    # a projection of its own: a lambda beside a redefined column would see the new value
+    out = records.join(page, "page_id", "left").withColumn(
+        "_used", F.array_compact(F.array(*[F.when(taken[c], F.lit(c)) for c in have]))
+    )
     if "field_confidence" in records.columns:
-        used = F.array_compact(F.array(*[F.when(taken[c], F.lit(c)) for c in have]))
-        extra = F.map_filter("_conf", lambda k, x: F.array_contains(used, k))
-        kept = F.map_filter("field_confidence", lambda k, x: ~F.array_contains(used, k))
-        filled["field_confidence"] = F.when(F.col("_conf").isNotNull(), F.map_concat(kept, extra)).otherwise(F.col("field_confidence"))
+        extra = F.map_filter("_conf", lambda k, x: F.array_contains("_used", k))
+        kept = F.map_filter("field_confidence", lambda k, x: ~F.array_contains("_used", k))
+        out = out.withColumn(
+            "field_confidence", F.when(F.col("_conf").isNotNull(), F.map_concat(kept, extra)).otherwise(F.col("field_confidence"))
+        )
+    filled = {c: F.when(taken[c], F.col(pairs[c])).otherwise(F.col(c)) for c in have}
     return out.withColumns(filled).select(*records.columns)
 
 
