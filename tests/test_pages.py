@@ -140,3 +140,10 @@ def test_deep_nesting_is_parsed(spark):
     html = "<div>" * 3000 + "x" + "</div>" * 3000
     row = parsed(spark, html).select(F.size("nodes").alias("n"), F.expr("nodes[2999].last").alias("last"), "text").first()
     assert (row.n, row.last, row.text) == (3000, 2999, "x")
+
+
+def test_families_keep_the_order_of_strategies():
+    order = list(ex.STRATEGIES)
+    for steps in ex.FAMILIES.values():
+        at = [order.index(s) for s in steps]
+        assert at == sorted(at)

@@ -183,6 +183,7 @@ def _fingerprint(e: DataFrame) -> tuple:
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
     """(id, component, size, reason, confidence): members of each group with the group's strongest pair."""
+    pairs = checkpointed(pairs)
     members = components(pairs)
     best = (
         pairs.join(members.select(F.col("id").alias("src"), "component"), "src")

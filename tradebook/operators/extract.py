@@ -22,6 +22,11 @@ from tradebook.operators import html as h
 from tradebook.operators.fields import json_ld_texts
 
 _NOTHING = "cast(NULL AS string)"
+_RECORD_TYPE = (
+    "struct<rank:int,name:string,link:string,phone:string,email:string,description:string,city:string,registry:string,"
+    "categories:array<string>,score:double>"
+)
+_NONE = f"cast(array() AS array<{_RECORD_TYPE}>)"
 _MAIL = tx.MAIL_IN_TEXT
 
 
@@ -30,7 +35,7 @@ def _record(rank: str, confidence: float, **parts: str) -> str:
     cols = ["name", "link", "phone", "email", "description", "city", "registry"]
     body = ", ".join(f"'{c}', {parts.get(c, _NOTHING)}" for c in cols)
     cats = parts.get("categories", "cast(array() AS array<string>)")
-    return f"named_struct('rank', {rank}, {body}, 'categories', {cats}, 'score', {confidence}D)"
+    return f"named_struct('rank', cast({rank} AS int), {body}, 'categories', {cats}, 'score', {confidence}D)"
 
 
 def _words(values: Sequence[str]) -> str:
@@ -221,29 +226,22 @@ def registry_tables() -> str:
     )
     rows = f"filter({h.within('t')}, x -> x.tag = 'tr')"
     heads = f"transform(filter({h.within('rows[0]')}, c -> c.tag IN ('th', 'td')), o -> lower({h.line_of('o')}))"
-
-    def role(name: str) -> str:
-        words = dict(fv.HEADER_ROLES)[name]
-        return f"array_position(transform(heads, w -> w RLIKE '{'|'.join(words)}'), true)"
-
+    # 0-based column of every role, -1 when no header names it
+    roles = "named_struct(" + ", ".join(
+        f"'{r}', cast(array_position(transform(heads, w -> w RLIKE '{'|'.join(words)}'), true) AS int) - 1" for r, words in fv.HEADER_ROLES
+    ) + ")"
     cells = f"filter({h.within('k')}, c -> c.tag = 'td')"
-
-    def cell(position: str) -> str:
-        return f"transform(array(get({cells}, cast({position} AS int) - 1)), o -> nullif({h.line_of('o')}, ''))[0]"
-
-    at_name = f"if({role('name')} > 0, {role('name')}, 1)"
-    pick = lambda r: f"CASE WHEN {role(r)} > 0 THEN {cell(role(r))} END"
-    link = f"transform(array(get({cells}, cast({at_name} AS int) - 1)), c -> get(filter({h.within('c')}, l -> l.tag = 'a'), 0).attrs['href'])[0]"
+    lines = f"transform(cells, o -> nullif({h.line_of('o')}, ''))"
+    pick = lambda r: f"CASE WHEN roles.{r} >= 0 THEN get(vals, roles.{r}) END"
+    link = f"transform(array(get(cells, greatest(roles.name, 0))), c -> get(filter({h.within('c')}, l -> l.tag = 'a'), 0).attrs['href'])[0]"
     made = _record(
-        "0", 0.85, name=cell(at_name), link=link, description=pick("activity"), city=pick("location"), registry=pick("registry"),
-        categories=f"filter(array({pick('activity')}), x -> x IS NOT NULL)",
-    )
-    body = f"transform(filter(slice(rows, 2, greatest(size(rows) - 1, 0)), k -> size({cells}) >= 2), k -> {made})"
-    per_table = let_sql(
-        f"{rows}", "rows", f"CASE WHEN size(rows) < 2 THEN filter(transform(rows, k -> {_record('0', 0.85)}), r -> false) ELSE "
-        + let_sql(heads, "heads", body) + " END",
+        "0", 0.85, name="get(vals, greatest(roles.name, 0))", link=link, description=pick("activity"), city=pick("location"),
+        registry=pick("registry"), categories=f"filter(array({pick('activity')}), x -> x IS NOT NULL)",
     )
-    return f"filter(flatten(transform(slice({table}, 1, 1), t -> {per_table})), r -> length(r.name) >= 2)"
+    record = let_sql(cells, "cells", let_sql(lines, "vals", made))
+    body = f"transform(filter(slice(rows, 2, greatest(size(rows) - 1, 0)), k -> size({cells}) >= 2), k -> {record})"
+    per_table = let_sql(rows, "rows", f"CASE WHEN size(rows) >= 2 THEN {let_sql(heads, 'heads', let_sql(roles, 'roles', body))} END")
+    return f"coalesce(filter(flatten(filter(transform(slice({table}, 1, 1), t -> {per_table}), x -> x IS NOT NULL)), r -> length(r.name) >= 2), {_NONE})"
 
 
 def linked_lists() -> str:
@@ -313,19 +311,20 @@ def organisations() -> str:
 
 # --- families and the one job ---------------------------------------------------------------------------------------
 
+# in an order that keeps the order of every family below
 STRATEGIES = {
-    "json_ld": organisations,
-    "cards": lambda: cards(GENERIC_CARDS),
-    "b2b_cards": lambda: cards(B2B_CARDS),
+    "registry_table": registry_tables,
     "directory_cards": lambda: cards(DIRECTORY_CARDS),
-    "labelled_cards": labelled_cards,
-    "portal_cards": lambda: cards(PORTAL_CARDS),
+    "b2b_cards": lambda: cards(B2B_CARDS),
     "listview": listview_tables,
-    "registry_table": registry_tables,
-    "table": tables,
-    "value_cells": value_cells,
+    "portal_cards": lambda: cards(PORTAL_CARDS),
     "zone_links": zone_links,
+    "value_cells": value_cells,
     "headings": portal_headings,
+    "json_ld": organisations,
+    "labelled_cards": labelled_cards,
+    "cards": lambda: cards(GENERIC_CARDS),
+    "table": tables,
     "list": linked_lists,
     "definitions": definition_lists,
 }
@@ -359,12 +358,16 @@ def site_family(url: Column) -> Column:
     return let(F.lower(urls.untracked_url(url)), ladder)
 
 
-def _by_strategy(names: Sequence[str]) -> str:
-    """struct(strategy, records) of the first strategy with records; later ones are not worked out."""
-    out = "named_struct('strategy', cast(NULL AS string), 'records', filter(transform(array(1), x -> " + _record("0", 0.0) + "), r -> false))"
-    for n in reversed(list(names)):
-        out = let_sql(STRATEGIES[n](), f"found_{n}", f"CASE WHEN size(found_{n}) > 0 THEN named_struct('strategy', '{n}', 'records', found_{n}) ELSE {out} END")
-    return out
+def _by_strategy(names: Sequence[str], wanted: dict[str, str] | None = None) -> str:
+    """struct(strategy, records) of the first strategy with records; later ones are not worked out.
+
+    ``wanted`` may give a condition under which a strategy is tried at all.
+    """
+    tries = []
+    for n in names:
+        found = let_sql(STRATEGIES[n](), "f", f"CASE WHEN size(f) > 0 THEN named_struct('strategy', '{n}', 'records', f) END")
+        tries.append(f"CASE WHEN {wanted[n]} THEN {found} END" if wanted else found)
+    return f"coalesce({', '.join(tries)}, named_struct('strategy', cast(NULL AS string), 'records', {_NONE}))"
 
 
 def extract_records(parsed: DataFrame, strategies: Sequence[str] | None = None) -> DataFrame:
@@ -375,12 +378,11 @@ def extract_records(parsed: DataFrame, strategies: Sequence[str] | None = None)
     if strategies:
         found = parsed.select("page_id", "url", F.lit("given").alias("family"), F.expr(_by_strategy(strategies)).alias("_f"))
     else:
+        # every strategy stands once in the plan; the families that use it are its condition
+        users = {n: [f for f, steps in FAMILIES.items() if n in steps] for n in STRATEGIES}
+        wanted = {n: f"family IN ({_words(fs)})" for n, fs in users.items()}
         chosen = parsed.withColumn("family", site_family(F.col("url"))["family"])
-        ladder = None
-        for name, steps in FAMILIES.items():
-            steps_sql = F.expr(_by_strategy(steps))
-            ladder = F.when(F.col("family") == name, steps_sql) if ladder is None else ladder.when(F.col("family") == name, steps_sql)
-        found = chosen.select("page_id", "url", "family", ladder.alias("_f"))
+        found = chosen.select("page_id", "url", "family", F.expr(_by_strategy(list(STRATEGIES), wanted)).alias("_f"))
     rows = found.select("page_id", "url", "family", "_f.strategy", F.posexplode("_f.records").alias("ordinal", "r"))
     have = lambda c, yes, no: F.when(c.isNotNull(), yes).otherwise(no)
     r = lambda n: F.col(f"r.{n}")

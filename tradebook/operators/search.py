@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradebook.functions.semantics import blank_to_null, squeeze
 from tradebook.operators.tables import delete_rows, upsert
+from tradebook.session import checkpointed
 from tradebook.sources.schemas import with_missing
 
 _TEXTS = ["name_en", "name_ar", "business_type", "description_en", "description_ar", "city"]
@@ -72,17 +73,17 @@ def search_many(queries: DataFrame, index: DataFrame, key: str = "id", text: str
     q = queries.select(
         "query_id", F.array_distinct(F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda w: w != "")).alias("terms")
     ).where(F.size("terms") > 0)
-    rows = index.select(F.col(key), F.array_distinct(F.filter(F.split(F.col(text), " "), lambda w: w != "")).alias("words"))
     wanted = q.select(F.explode("terms").alias("term")).distinct()
-    hits = rows.select(F.explode("words").alias("term")).join(wanted, "term")
-    weight = hits.groupBy("term").agg(F.count("*").alias("df"))
+    # one pass over the texts: of every row only the words some query asks for are kept
+    kept = checkpointed(
+        postings(index, key, text).join(wanted, "term", "left_semi").groupBy(key).agg(F.collect_set("term").alias("words"))
+    )
+    opened = kept.select(key, "words", F.explode("words").alias("term"))
+    weight = opened.groupBy("term").agg(F.count("*").alias("df"))
     rarest = (
         q.select("query_id", "terms", F.explode("terms").alias("term")).join(weight, "term", "left")
         .groupBy("query_id").agg(
             F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"), F.first("terms").alias("terms")
         )
     )
-    # only the words some query is driven by are opened up
-    driving = rarest.select("term").distinct()
-    post = rows.select(key, "words", F.explode("words").alias("term")).join(driving, "term", "left_semi")
-    return post.join(rarest, "term").where(F.size(F.array_except("terms", "words")) == 0).select("query_id", key)
+    return opened.join(rarest, "term").where(F.size(F.array_except("terms", "words")) == 0).select("query_id", key)

@@ -14,12 +14,16 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# with little data every core should still get a share of it
+LOCAL = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+
 
 def local_session(cores: int | str = 8, partitions: int = 8, name: str = "tradebook", **extra: str) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(name)
     for k, v in {
         **SETTINGS,
+        **LOCAL,
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
@@ -33,6 +37,17 @@ def local_session(cores: int | str = 8, partitions: int = 8, name: str = "tradeb
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan gives fewer partitions than there are cores; else as it is.
+
+    For work that costs far more per row than moving the row does.  A table of
+    many files or splits is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions() if df.inputFiles() else cores
+    return df.repartition(cores) if parts < cores else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
