@@ -81,8 +81,9 @@ def similar_names(names: DataFrame, block: str | None = None) -> DataFrame:
         f"levenshtein(a, b, cast(floor(greatest(length(a), length(b)) * {_MAX_DISTANCE_SHARE}) AS int)) >= 0)"
     )
     pairs = left.join(right, [*blocks, "gram"]).where(F.expr(f"a < b AND {sizes} AND {alike} AND {once}"))
-    scored = pairs.select(*blocks, "a", "b", same_bare_name(F.col("a"), F.col("b")).alias("_s"))
-    return scored.where("_s.is_match").select(*blocks, "a", "b", F.col("_s.confidence").alias("confidence"))
+    # exploded, so that the score is worked out for the pairs that are left and not pushed down into the join
+    score = F.explode(F.filter(F.array(same_bare_name(F.col("a"), F.col("b"))), lambda m: m["is_match"]))
+    return pairs.select(*blocks, "a", "b", score.alias("_s")).select(*blocks, "a", "b", F.col("_s.confidence").alias("confidence"))
 
 
 def duplicate_pairs(companies: DataFrame) -> DataFrame:

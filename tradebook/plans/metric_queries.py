@@ -106,7 +106,7 @@ def queue_size(spark, sf_dir):
   CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 977 * 1000 END AS ms FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
 r AS (SELECT DISTINCT o_orderpriority AS region FROM orders UNION ALL SELECT r_name FROM region)
 SELECT r.region, CASE WHEN count(status) = 0 THEN 100.0 ELSE round(count_if(status = 'completed')::DOUBLE / greatest(count_if(status IN ('completed', 'failed')), 1) * 100, 6) END::DOUBLE AS success_rate,
-  count(status) AS total, count_if(status = 'completed')::BIGINT AS succeeded, count_if(status = 'failed')::BIGINT AS failed, count_if(status = 'running')::BIGINT AS running,
+  count(status) AS total, coalesce(count_if(status = 'completed'), 0)::BIGINT AS succeeded, coalesce(count_if(status = 'failed'), 0)::BIGINT AS failed, coalesce(count_if(status = 'running'), 0)::BIGINT AS running,
   floor(coalesce(avg(ms), 0) + 0.5)::BIGINT AS mean_duration_ms FROM r LEFT JOIN j USING (region) GROUP BY r.region""",
 )
 def regional_health(spark, sf_dir):
