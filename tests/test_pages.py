@@ -147,3 +147,8 @@ def test_families_keep_the_order_of_strategies():
     for steps in ex.FAMILIES.values():
         at = [order.index(s) for s in steps]
         assert at == sorted(at)
+
+
+def test_short_main_element_beats_body(spark):
+    p = parsed(spark, "<body><p>" + "long text outside " * 10 + "</p><article>short</article></body>")
+    assert ex.main_content(p).first().main_text == "short"

@@ -446,8 +446,9 @@ def main_root() -> str:
         return {"tag": f"n.tag = '{value}'", "role": f"n.attrs['role'] = '{value}'", "class": h.has_class("n", value), "id": f"n.id = '{value}'"}[kind]
 
     firsts = [h.first_of(cond(*s)) for s in fv.MAIN_CONTENT_SELECTORS]
-    found = f"filter(array({', '.join(firsts)}, {h.first_of('n.tag = ' + chr(39) + 'body' + chr(39))}), o -> o IS NOT NULL)"
-    return let_sql(found, "roots", f"coalesce(get(filter(roots, o -> length({h.line_of('o')}) > 80), 0), get(roots, 0))")
+    found = f"filter(array({', '.join(firsts)}), o -> o IS NOT NULL)"
+    body = h.first_of("n.tag = 'body'")
+    return let_sql(found, "roots", f"coalesce(get(filter(roots, o -> length({h.line_of('o')}) > 80), 0), get(roots, 0), {body})")
 
 
 def main_content(parsed: DataFrame) -> DataFrame:
