@@ -82,7 +82,8 @@ def contained_passages(passages: DataFrame, texts: DataFrame, words: int = 5) ->
     the run of ``words`` words after its first one must stand there too: that run
     is the join key, and the whole passage is checked afterwards.  ``passages`` has
     passage_id and passage, ``texts`` text_id and text.  Shorter passages are keyed
-    by the one longest run they have.
+    by the one longest run they have, and those without an inner word by their first
+    three characters.
     """
     p = passages.withColumn("_w", F.split(F.trim("passage"), r"\s+"))
     inner = F.greatest(F.size("_w") - 2, F.lit(0))
@@ -102,7 +103,21 @@ def contained_passages(passages: DataFrame, texts: DataFrame, words: int = 5) ->
         )
     )
     opened = t.select("text_id", F.explode(F.array_distinct(runs)).alias("_run"))
-    hits = opened.join(keyed.select("passage_id", "passage", "_run"), "_run").select("passage_id", "passage", "text_id").distinct()
+    hits = opened.join(keyed.select("passage_id", "passage", "_run"), "_run").select("passage_id", "passage", "text_id")
+
+    brief = p.where((inner == 0) & (F.col("passage") != "")).select("passage_id", "passage", F.substring("passage", 1, 3).alias("_start"))
+    lengths = brief.agg(F.sort_array(F.collect_set(F.length("_start"))).alias("_ls"))  # 1, 2 and 3 at most
+    starts = F.flatten(
+        F.transform(
+            "_ls",
+            lambda n: F.transform(
+                F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1)).otherwise(F.array().cast("array<int>")),
+                lambda i: F.substring(F.col("text"), i, n),
+            ),
+        )
+    )
+    cut = texts.crossJoin(F.broadcast(lengths)).select("text_id", F.explode(F.array_distinct(starts)).alias("_start"))
+    hits = hits.unionByName(cut.join(brief, "_start").select("passage_id", "passage", "text_id")).distinct()
     return hits.join(texts.select("text_id", "text"), "text_id").where(F.contains("text", "passage")).select("passage_id", "text_id")
 
 
