@@ -152,3 +152,18 @@ def test_families_keep_the_order_of_strategies():
 def test_short_main_element_beats_body(spark):
     p = parsed(spark, "<body><p>" + "long text outside " * 10 + "</p><article>short</article></body>")
     assert ex.main_content(p).first().main_text == "short"
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ('<meta property="og:image" content="https://i.com/a.png"><div class="logo"><img src="/l.png"></div>', "https://i.com/a.png"),
+        ('<meta property="og:image" content="https://i.com/site/img/logo.svg"><div class="logo"><img src="/l.png"></div>', "https://a.com/l.png"),
+        ('<div class="product-slider"><img src="https://i.com/s.png"></div>', "https://i.com/s.png"),
+        ('<div class="logo"><picture><source srcset="/l.svg 1x, /m.svg 2x"></picture></div>', "https://a.com/l.svg"),
+        ('<div class="logo"><svg><use href="#x"></use><image xlink:href="/v.png"></svg></div>', "https://a.com/v.png"),
+        ("<img src='/other.png'>", None),
+    ],
+)
+def test_profile_logo(spark, html, want):
+    assert parsed(spark, html).select(ex.profile_logo()).first()[0] == want

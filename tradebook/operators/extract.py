@@ -538,8 +538,7 @@ def profiles(parsed: DataFrame) -> DataFrame:
         F.expr(f"{in_root('''n.tag = 'a' AND n.attrs['itemprop'] = 'url' AND startswith(n.attrs['href'], 'http') AND NOT n.attrs['href'] RLIKE 'ksa.directory|saudidir.com|maps.app.|google.com/maps|facebook.com|instagram.com|linkedin.com' ''')}.attrs['href']").alias("_site"),
         F.expr(h.meta("og:description", "property")).alias("_ogdesc"),
         F.expr(f"{in_root('''n.attrs['data-description'] IS NOT NULL''')}.attrs['data-description']").alias("_datadesc"),
-        F.expr(h.meta("og:image", "property")).alias("_ogimg"),
-        F.expr(f"{in_root('''n.tag = 'img' AND n.attrs['itemprop'] = 'image' ''')}.attrs['src']").alias("_img"),
+        profile_logo().alias("logo_url"),
         one_line(in_root("n.tag = 'address' OR n.attrs['itemprop'] IN ('address', 'streetAddress') OR " + h.has_class("n", "address"))).alias("_address"),
     )
     vague = lambda c: (F.coalesce(c, F.lit("")) == "") | F.lower(c).isin(*fv.GENERIC_TITLES)
@@ -559,11 +558,43 @@ def profiles(parsed: DataFrame) -> DataFrame:
         ).alias("email"),
         F.coalesce("_site", urls.website_from_name(F.col("_t.name_en"))).alias("website_url"),
         F.coalesce(F.when(F.length("_ogdesc") > 20, F.col("_ogdesc")), F.when(F.length("_datadesc") > 15, F.col("_datadesc")), F.when(F.length("_og") > 5, F.col("_og"))).alias("description_en"),
-        F.when(F.col("_ogimg").rlike("^(?i:https?)://"), F.col("_ogimg")).otherwise(F.when(F.col("_img").isNotNull(), urls.resolve(F.col("_img"), F.col("url")))).alias("logo_url"),
+        "logo_url",
         F.col("_address").alias("full_address"), F.col("url").alias("source_url"),
     )
 
 
+# what may hold a profile's logo inside its logo box: (condition on the element, attribute), in order of trust
+_LOGO_PLACES = [
+    ("n.tag = 'img'", "src"), ("n.tag = 'img'", "data-src"),
+    ("n.tag = 'source' AND contains(n.attrs['srcset'], '.svg')", "srcset"), ("n.tag = 'source'", "srcset"),
+    ("n.tag = 'object'", "data"), ("n.tag = 'embed'", "src"),
+    ("n.tag = 'use' AND NOT startswith(coalesce(n.attrs['href'], n.attrs['xlink:href']), '#')", "href"), ("n.tag = 'image'", "href"),
+]
+
+
+def profile_logo() -> Column:
+    """Logo of a profile page: og:image, the listing's slider or marked image, then the places of a logo box."""
+    og = F.expr(h.meta("og:image", "property"))
+    slider = F.expr(
+        "get(" + h.all_under("n.tag = 'img' AND (n.attrs['itemprop'] = 'image' OR startswith(n.attrs['src'], 'http'))", h.has_class("a", "product-slider")) + ", 0).attrs"
+    )
+    slide = F.coalesce(slider["src"], slider["data-src"])
+    marked = F.expr(h.first_of("n.tag = 'img' AND n.attrs['itemprop'] = 'image'") + ".attrs['src']")
+    inside_logo = h.has_class("a", "logo")
+    found = []
+    for cond, name in _LOGO_PLACES:
+        value = f"coalesce(o.attrs['{name}'], o.attrs['xlink:{name}'])"
+        if name == "srcset":
+            value = f"regexp_extract(trim({value}), r'^([^\\s,]+)', 1)"
+        place = f"get(transform({h.all_under(cond, inside_logo)}, o -> nullif(trim({value}), '')), 0)"
+        found.append(F.expr(place))
+    good = lambda c: F.when(c.rlike("^(?i:https?)://"), c)
+    return F.coalesce(
+        F.when(~og.rlike("(?i)/site/img/logo\\.svg"), good(og)), good(slide),
+        *[F.when(c.isNotNull(), urls.resolve(c, F.col("url"))) for c in (marked, *found)],
+    )
+
+
 def best_address(candidates: DataFrame, key: str) -> DataFrame:
     """The likeliest address of several: digits, street words, city, length and commas count, brevity decides."""
     a = F.col("address")
