@@ -15,7 +15,7 @@ import numpy as np
 
 _MARKS = b".,!#$%&*|:;?-"  # a letter before a run of these is always a border of pre-tokens
 _SPECIAL = b"<|"
-MOST_WORDS = 300_000  # kept per worker in each of two generations
+MOST_WORDS, MOST_CHUNKS = 500_000, 300_000  # kept per worker, about
 
 
 def word_bpe_path() -> str:
@@ -32,56 +32,56 @@ def _cut(chunk: bytes) -> tuple[bytes, bytes]:
     return bare, chunk[len(bare) :]
 
 
-class Words(dict):
-    """bytes of a chunk -> its ids as little-endian 32-bit integers."""
+class Words:
+    """Ids of chunks as little-endian 32-bit integers, kept in a memory of bounded size."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self._old: dict[bytes, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self._old.get(chunk)
-        if ids is None:
-            bare, marks = _cut(chunk)
-            ids = self[bare] + self[marks] if marks else self._whole(chunk.decode())
-        self[chunk] = ids
-        return ids
-
-    def learn(self, chunks: Iterable[bytes]) -> None:
-        """Encode the words among new chunks together: the library is far faster on many words in one string."""
-        bare = {_cut(c)[0] for c in chunks if c not in self and c not in self._old}
-        words = [(c, w) for c in bare if c not in self and c not in self._old and (w := c.decode()).isalpha()]
-        for at in range(0, len(words), 200):
-            part = words[at : at + 200]
-            ids = np.array(self.library.encode(" ".join(w for _, w in part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):  # one end of word for each word
-                raw, begin = ids.tobytes(), 0
-                for (c, _), e in zip(part, (4 * ends).tolist(), strict=True):
-                    self[c] = raw[begin:e]
-                    begin = e
+        self._bare: dict[bytes, bytes] = {}  # chunks without the marks at their ends
+        self._chunks: dict[bytes, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Encode new chunks together: the library is far faster on many words in one string."""
+        cut = {c: _cut(c) for c in new}
+        bare = {b for b, _ in cut.values()}.union(m for _, m in cut.values()).difference(self._bare)
+        texts = [(b, b.decode()) for b in bare]
+        words = [(b, w) for b, w in texts if w.isalpha()]
+        other = [(b, w) for b, w in texts if not w.isalpha()]
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.library.encode(" ".join([w for _, w in part]), add_special_tokens=False).ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) == len(part) and ends[-1] == 4 * len(ids):  # one end of word for each word
+                raw, stops = ids.tobytes(), ends.tolist()
+                self._bare.update(zip([b for b, _ in part], [raw[a:e] for a, e in zip([0, *stops], stops)]))  # noqa: B905
+            else:
+                other += part
+        self._bare.update(zip([b for b, _ in other], self._whole([w for _, w in other]), strict=True))
+        known = self._bare
+        self._chunks.update([(c, known[b] + known[m]) for c, (b, m) in cut.items()])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is empty."""
-        if len(self) > MOST_WORDS:
-            self._old = dict(self)
-            self.clear()
+        if len(self._chunks) > MOST_CHUNKS:
+            self._chunks = {}
+        if len(self._bare) > MOST_WORDS:
+            self._bare = {}
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         chunks = [None if _SPECIAL in r else r.lower().split() for r in raw]  # A-Z only; the vocabulary is in small letters
-        self.learn(set().union(*(c for c in chunks if c)))
+        self._learn(set().union(*[c for c in chunks if c]).difference(self._chunks))
+        get = self._chunks.__getitem__
         return [
-            self._whole(r.decode()) if c is None else b"".join(map(self.__getitem__, c)) for r, c in zip(raw, chunks, strict=True)
+            self._whole([r.decode()])[0] if c is None else b"".join(map(get, c)) for r, c in zip(raw, chunks, strict=True)
         ]
 
 
