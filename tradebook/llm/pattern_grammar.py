@@ -129,16 +129,13 @@ def _reported(inside: tuple[bool, bool], x: str):
 
 def _aimed(state: tuple[int, str, int], x: str):
     seen, waiting, left = state  # target seen so lately; insult or threat that waits for a target, and for how long
-    seen, left = max(seen - 1, 0), max(left - 1, 0)
-    waiting = waiting if left else ""
+    near, seen, left = seen > 0, max(seen - 1, 0), max(left - 1, 0)
     if x == "T":
-        out = {"I": "U", "H": "W", "": "o"}[waiting]
-        return (TARGET_REACH, "", 0), out
-    if x == "I":
-        return ((seen, "", 0), "V") if seen else ((0, "I", TARGET_REACH), "I")
-    if x == "H":
-        return ((seen, "", 0), "W") if seen else ((0, "H", TARGET_REACH), "H")
-    return (seen, waiting, left), x
+        return (TARGET_REACH, "", 0), {"I": "U", "H": "W", "": "o"}[waiting]
+    if x in "IH":
+        aimed = {"I": "V", "H": "W"}[x]
+        return ((seen, "", 0), aimed) if near else ((0, x, TARGET_REACH), x)
+    return (seen, waiting if left else "", left), x
 
 
 @lru_cache(1)

@@ -114,7 +114,8 @@ def update(
                 break
             last += 1
         region = "".join(pieces)
-        parts = leaves_of(region, leaf_chars)
+        # a leaf may grow to twice the usual before it is cut
+        parts = [region] if last == first and 0 < len(region) <= 2 * leaf_chars else leaves_of(region, leaf_chars)
         if last == first and len(parts) == 1 and same_shape is not None:
             same_shape[first] = len(fresh)
         else:

@@ -24,10 +24,15 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _ends_in_letter(chunk: bytes) -> bool:
+    last = chunk[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:]  # some letters gain a mark when made small
+    return last.isalpha()
+
+
 def _cut(chunk: bytes) -> tuple[bytes, bytes]:
     """A chunk without the marks at its end, and these; nothing is cut where no letter stands before them."""
     bare = chunk.rstrip(_MARKS)
-    if len(bare) == len(chunk) or not bare or not (97 <= bare[-1] <= 122 or bare[-4:].decode("utf-8", "ignore")[-1:].isalpha()):
+    if len(bare) == len(chunk) or not bare or not (97 <= bare[-1] <= 122 or _ends_in_letter(bare)):
         return chunk, b""
     return bare, chunk[len(bare) :]
 
