@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 
 BLOCK = 8192  # ids per block; the last block of a file may be shorter
-LANES = 2048  # blocks that are worked on at once
+LANES = 1024  # blocks that are worked on at once
 HASHED = 4096  # contexts of order 2 per block
 GAIN = 2  # what an occurrence adds to a count
 _HEAD = struct.Struct("<IIIIII")  # ids, distinct ids, bytes of their list, words of the code, crc of ids, crc of body
@@ -162,13 +162,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
 
 def _encode_group(ids: np.ndarray, block: int) -> list[bytes]:
     parts = [ids[i : i + block] for i in range(0, len(ids), block)]
-    lists, ranks = zip(*(np.unique(p, return_inverse=True) for p in parts), strict=True)
     lengths = np.array([len(p) for p in parts])
     n, steps = len(parts), int(lengths[0])
-    ranked = np.zeros((steps, n), np.int16)
-    for k, r in enumerate(ranks):
-        ranked[: len(r), k] = r
-    del ranks
+    ranked, lists = np.zeros((steps, n), np.int16), []
+    for k, p in enumerate(parts):
+        distinct, ranked[: len(p), k] = np.unique(p, return_inverse=True)
+        lists.append(distinct)
     s = _State(np.array([len(x) for x in lists]))
     low, size = np.zeros(n, np.uint64), np.full(n, 1 << (_FULL - 1), np.uint64)
     room = min(steps, 1024) + 4

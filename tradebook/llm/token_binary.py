@@ -31,7 +31,7 @@ from tradebook.session import scratch_folder
 MAGIC = b"TBK1"
 _FOOT = struct.Struct("<QQQQII")
 _FOOT_MARK = int.from_bytes(b"1KBT", "little")
-FILE_CHARS = 30_000_000  # characters of text that a file holds, about
+FILE_CHARS = 20_000_000  # bytes of text that a file holds, about: one group of blocks
 _GROUP = id_coder.LANES * id_coder.BLOCK
 FOUND = "part int, name string, documents long, tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"

@@ -15,7 +15,7 @@ import numpy as np
 
 _MARKS = b".,!#$%&*|:;?-"  # a letter before a run of these is always a border of pre-tokens
 _SPECIAL = b"<|"
-MOST_WORDS, MOST_CHUNKS = 500_000, 300_000  # kept per worker, about
+MOST_WORDS, MOST_CHUNKS = 300_000, 150_000  # kept per worker, about
 
 
 def word_bpe_path() -> str:
