@@ -80,6 +80,32 @@ def test_versions_survive_a_replayed_batch(spark, tmp_path):
     assert wr.latest_version(spark, folder)[0] == 1
 
 
+def test_a_stored_table_and_a_new_stream_lose_nothing(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    schema = "id long, v string"
+    wr.write_version(spark.createDataFrame([(9, "old")], schema), folder, 0)
+    change = lambda b, cur: b if cur is None else tb.upsert(cur, b, ["id"])
+    for n, rows in enumerate(([(1, "a")], [(2, "b")])):
+        source = str(tmp_path / f"in{n}")
+        spark.createDataFrame(rows, schema).write.parquet(source)
+        stream = st.file_stream(spark, source, spark.read.parquet(source).schema)
+        st.run_to_end(st.upsert_stream(stream, folder, change), str(tmp_path / f"ck{n}"))
+        st.run_to_end(st.upsert_stream(stream, folder, change), str(tmp_path / f"ck{n}"))  # nothing new: no version
+    version, out = wr.latest_version(spark, folder)
+    assert version == 2 and {tuple(r) for r in out.collect()} == {(9, "old"), (1, "a"), (2, "b")}
+    st.keep_versions(folder, change, keep_last=1)(spark.createDataFrame([(3, "c")], schema), 7)
+    assert os.listdir(folder) == ["v=3"] and wr.latest_version(spark, folder)[1].count() == 4
+
+
+def test_streamed_limit_in_any_order_of_rows(spark, tmp_path):
+    calls = spark.createDataFrame([(1, "k", 50), (2, "k", 0), (3, "k", 10)], "call_id long, k string, s long").withColumn("ts", F.timestamp_seconds("s")).coalesce(1)
+    calls.write.parquet(str(tmp_path / "in"))
+    stream = st.limited_calls(st.file_stream(spark, str(tmp_path / "in"), calls.schema), "k", 20_000, 1)
+    st.run_to_end(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), str(tmp_path / "ck"))
+    got = {r.call_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {2: True, 3: False, 1: True}
+
+
 def test_unfinished_version_is_ignored(spark, tmp_path):
     folder = str(tmp_path / "t")
     wr.write_version(spark.range(3), folder, 0)

@@ -126,9 +126,9 @@ def phone_number(phone: Column, country: str = fv.COUNTRY_CODE) -> Column:
     c = F.regexp_replace(phone, r"[^\d+]", "")
     plus = F.concat(F.lit("+" + country), F.lit(""))
     full = (
-        F.when(c.startswith("05"), F.concat(plus, F.substring(c, 2, 1000)))
+        F.when(c.startswith("05"), F.concat(plus, F.substr(c, F.lit(2))))
         .when(c.startswith("5") & (F.length(c) == 9), F.concat(plus, c))
-        .when(c.startswith("01") & (F.length(c) >= 10), F.concat(plus, F.substring(c, 2, 1000)))
+        .when(c.startswith("01") & (F.length(c) >= 10), F.concat(plus, F.substr(c, F.lit(2))))
         .when(c.startswith("1") & (F.length(c) == 9), F.concat(plus, c))
         .when(c.startswith("+" + country), c)
         .when(c.startswith(country), F.concat(F.lit("+"), c))
@@ -396,8 +396,8 @@ def heading_sections(text: Column) -> Column:
     return F.transform(names, lambda n, i: F.struct(F.trim(n).alias("name"), F.get(blocks, i).alias("block")))
 
 
-def products_in_sentence(text: Column, limit: int = 15) -> Column:
-    """Items listed after 'namely', 'such as', 'including' or 'like', up to the sentence end."""
+def products_in_sentence(text: Column, limit: int | None = None) -> Column:
+    """Items listed after 'namely', 'such as', 'including' or 'like', up to the sentence end; ``limit`` keeps the first ones."""
     t = squeeze(text)
     tail = None
     for m in fv.PRODUCT_MARKERS:
@@ -416,7 +416,7 @@ def products_in_sentence(text: Column, limit: int = 15) -> Column:
         | s.contains("@")
     )
     return F.coalesce(
-        F.array_distinct(F.slice(F.filter(items, lambda s: ~junk(s)), 1, limit)), F.array().cast("array<string>")
+        F.array_distinct(F.filter(items, lambda s: ~junk(s)) if limit is None else F.slice(F.filter(items, lambda s: ~junk(s)), 1, limit)), F.array().cast("array<string>")
     )
 
 

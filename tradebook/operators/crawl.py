@@ -177,10 +177,11 @@ def backoff_ms(attempt: Column, base_ms: int = 1000, max_ms: int = 60_000) -> Co
     return F.least(F.lit(base_ms) * F.pow(F.lit(2.0), attempt), F.lit(float(max_ms))).cast("long")
 
 
-def reset_failed(jobs: DataFrame, queue: str, as_of: Column, limit: int = 1000) -> DataFrame:
-    """The newest failed jobs of a queue, set back to pending."""
+def reset_failed(jobs: DataFrame, queue: str, as_of: Column, limit: int | None = None) -> DataFrame:
+    """The failed jobs of a queue, set back to pending; ``limit`` takes the newest ones."""
     failed = jobs.where((F.col("queue_name") == queue) & (F.col("status") == "failed"))
-    return failed.orderBy(F.desc("created_at"), "id").limit(limit).withColumns(
+    chosen = failed if limit is None else failed.orderBy(F.desc("created_at"), "id").limit(limit)
+    return chosen.withColumns(
         {"status": F.lit("pending"), "attempts": F.lit(0), "scheduled_at": as_of}
     )
 

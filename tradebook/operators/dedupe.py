@@ -29,7 +29,7 @@ _MAX_EXTRA_SHARE = 0.3  # containment ratio above .7
 def star_pairs(df: DataFrame, key: str, reason: Column, confidence: float) -> DataFrame:
     """(src, dst, reason, confidence): each row of a key with the first one of it."""
     rows = df.where(F.col(key).isNotNull() & (F.col(key) != "")).select("id", key)
-    firsts = rows.groupBy(key).agg(F.min("id").alias("src"))
+    firsts = checkpointed(rows.groupBy(key).agg(F.min("id").alias("src")))  # written, so that a hot key's join can be split
     return rows.join(firsts, key).where("id <> src").select(
         "src", F.col("id").alias("dst"), reason.alias("reason"), F.lit(confidence).alias("confidence")
     )
@@ -116,7 +116,7 @@ def duplicate_pairs(companies: DataFrame) -> DataFrame:
     )
     in_city = keyed.where("name <> '' and city is not null").groupBy("name", "city").agg(F.min("id").alias("first"))
     rows = keyed.select("id", F.explode(rules).alias("_r")).select("id", "_r.key", "_r.confidence").where("key is not null")
-    firsts = rows.groupBy("confidence", "key").agg(F.min("id").alias("src"))
+    firsts = checkpointed(rows.groupBy("confidence", "key").agg(F.min("id").alias("src")))
     exact = rows.join(firsts, ["confidence", "key"]).where("id <> src").select(
         "src", F.col("id").alias("dst"), F.col("key").alias("reason"), "confidence"
     )
@@ -167,12 +167,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # written first: both sides of the join are then plain shuffles, of which Spark splits a hub's rows
+    lowest = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     return both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    lowest = e.groupBy("u").agg(F.min("v").alias("m"))
+    lowest = checkpointed(e.groupBy("u").agg(F.min("v").alias("m")))
     ties = e.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return ties.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 

@@ -56,11 +56,14 @@ def source_pages_of(values: DataFrame, pages: DataFrame) -> DataFrame:
     ).drop("_b")
 
 
-def evidence_rows(values: DataFrame, pages: DataFrame, method: str = "ai_suggestion") -> DataFrame:
-    """Evidence per (company, field): source page, snippet of at most 500 characters, locked from .9 on."""
+def evidence_rows(values: DataFrame, pages: DataFrame, method: str = "ai_suggestion", most_chars: int | None = None) -> DataFrame:
+    """Evidence per (company, field): source page, snippet or value, locked from .9 on.
+
+    ``most_chars`` cuts a value that stands in for its snippet; by default it is kept whole.
+    """
     placed = source_pages_of(values, pages)
     where = pages.select(F.col("page_id"), F.col("url").alias("source_url"))
-    detail = F.coalesce(F.when(F.col("snippet") != "", F.col("snippet")), F.substring("value", 1, 500))
+    detail = F.coalesce(F.when(F.col("snippet") != "", F.col("snippet")), F.col("value") if most_chars is None else F.substring("value", 1, most_chars))
     return placed.join(where, "page_id", "left").select(
         "company_id", "field_name", "value", "source_url", F.col("page_id").alias("source_page_id"), F.lit(method).alias("extraction_method"),
         detail.alias("extraction_detail"), "confidence", (F.col("confidence") >= 0.9).alias("is_locked"),
@@ -191,11 +194,12 @@ def label_lookup(labels: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
     return known, missing
 
 
-def provider_log(calls: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Provider calls as log rows: long payloads cut with a marker, status from the error."""
+def provider_log(calls: DataFrame, limit: int | None = None) -> DataFrame:
+    """Provider calls as log rows, status from the error; ``limit`` cuts long payloads with a marker."""
+    cut = lambda n: F.col(n) if limit is None else tx.truncated(F.col(n), limit)
     return calls.withColumns(
         {
-            "request_payload": tx.truncated(F.col("request_payload"), limit), "response_payload": tx.truncated(F.col("response_payload"), limit),
+            "request_payload": cut("request_payload"), "response_payload": cut("response_payload"),
             "status": F.when(F.col("error_message").isNull(), "success").otherwise("error"),
         }
     )

@@ -215,7 +215,7 @@ def listview_tables() -> str:
     link = f"transform(slice({cells}, 1, 1), c -> get(filter({h.within('c')}, l -> l.tag = 'a'), 0))"
     name = f"coalesce(nullif(transform({link}, o -> {h.line_of('o')})[0], ''), get({texts}, 0))"
     made = _record("0", 0.8, name=name, link=f"get({link}, 0).attrs['href']",
-                   description=f"nullif(array_join(slice({texts}, 2, 1000), ' | '), '')")
+                   description=f"nullif(array_join(slice({texts}, 2, greatest(size({texts}) - 1, 0)), ' | '), '')")
     return f"filter(transform(filter({rows}, k -> size({cells}) > 0), k -> {made}), r -> length(r.name) >= 2)"
 
 
@@ -284,7 +284,7 @@ def value_cells() -> str:
     texts = f"transform({cells}, o -> {h.line_of('o')})"
     link = f"transform(slice({cells}, 1, 1), c -> get(filter({h.within('c')}, l -> l.tag = 'a'), 0))"
     made = _record("0", 0.7, name=f"coalesce(nullif(transform({link}, o -> {h.line_of('o')})[0], ''), get({texts}, 0))",
-                   link=f"get({link}, 0).attrs['href']", description=f"nullif(trim(array_join(slice({texts}, 2, 1000), ' | ')), '')")
+                   link=f"get({link}, 0).attrs['href']", description=f"nullif(trim(array_join(slice({texts}, 2, greatest(size({texts}) - 1, 0)), ' | ')), '')")
     return f"filter(transform(filter(nodes, k -> k.tag = 'tr' AND size({cells}) > 0), k -> {made}), r -> length(r.name) >= 2)"
 
 
@@ -393,7 +393,7 @@ def extract_records(parsed: DataFrame, strategies: Sequence[str] | None = None)
         F.when(~arabic, tx.display_name(r("name"))).alias("name_en"), F.when(arabic, tx.display_name(r("name"))).alias("name_ar"),
         F.when(r("link").isNotNull(), urls.resolve(r("link"), F.col("url"))).alias("website_url"),
         r("phone").alias("phone"), r("email").alias("email"), r("description").alias("description_en"),
-        F.coalesce(tx.city_in(r("city")), F.substring(r("city"), 1, 50)).alias("city"), r("registry").alias("cr_number"),
+        F.coalesce(tx.city_in(r("city")), r("city")).alias("city"), r("registry").alias("cr_number"),
         r("categories").alias("categories"), F.col("url").alias("source_url"), r("score").alias("confidence_score"),
         F.create_map(
             F.lit("name_en"), F.round(name_conf, 2), F.lit("website_url"), have(r("link"), 0.5, 0.0), F.lit("phone"), have(r("phone"), 0.6, 0.0),
@@ -414,7 +414,7 @@ def marker_records(
     parsed: DataFrame, start: str = fv.RECORD_START, name: str = fv.RECORD_NAME, activity: str = fv.RECORD_ACTIVITY, noise: str = fv.RECORD_NOISE
 ) -> DataFrame:
     """Records of a line-oriented listing: a marker line opens one, the lines up to the next marker fill it."""
-    lines = f"filter(transform(filter(nodes, n -> n.tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'p', 'li', 'div')), o -> {h.line_of('o')}), x -> x <> '' AND length(x) <= 400)"
+    lines = f"filter(transform(filter(nodes, n -> n.tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'p', 'li', 'div')), o -> {h.line_of('o')}), x -> x <> '')"
     rows = parsed.select("page_id", "url", F.posexplode(F.expr(lines)).alias("pos", "line"))
     is_start = F.col("line").rlike(f"(?iu){start}")
     so_far = Window.partitionBy("page_id").orderBy("pos")  # the lines of one page

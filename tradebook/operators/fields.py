@@ -357,16 +357,16 @@ def next_pages(parsed: DataFrame) -> DataFrame:
     return rows.select("page_id", urls.resolve(F.col("href"), F.col("url")).alias("target")).distinct()
 
 
-def numbered_pages(parsed: DataFrame, pattern: str, parameter: str = "page", most: int = 200) -> DataFrame:
+def numbered_pages(parsed: DataFrame, pattern: str, parameter: str = "page", most: int | None = None) -> DataFrame:
     """(page_id, page_no, target): the pages 2 to n of a listing that states how many it has.
 
-    ``most`` is the listing's own limit of pages.
+    ``most`` is the listing's own limit of pages, if it has one.
     """
     total = F.regexp_extract("text", pattern, 1).try_cast("int")
     base = F.regexp_replace("url", rf"([?&]){parameter}=\d+&?", "$1")
     glue = F.when(F.col("url").contains("?"), F.lit("&")).otherwise(F.lit("?"))
     rows = parsed.select("page_id", base.alias("_base"), glue.alias("_glue"), total.alias("_total")).where("_total >= 2")
-    rows = rows.withColumn("page_no", F.explode(F.sequence(F.lit(2), F.least("_total", F.lit(most)))))
+    rows = rows.withColumn("page_no", F.explode(F.sequence(F.lit(2), F.col("_total") if most is None else F.least("_total", F.lit(most)))))
     return rows.select(
         "page_id", "page_no",
         F.concat(F.regexp_replace("_base", "[?&]$", ""), F.when(F.regexp_replace("_base", "[?&]$", "").contains("?"), "&").otherwise("?"),

@@ -464,13 +464,13 @@ def next_pages(spark, sf_dir):
 @query(
     "numbered_pages",
     f"""WITH p AS (SELECT p_partkey // {_PER_PAGE} AS page_id, max(p_size) AS total FROM part GROUP BY 1)
-SELECT page_id, n::INTEGER AS page_no, 'https://list.example.org/p/' || page_id || '?page=' || n AS target FROM (SELECT page_id, unnest(range(2, least(total, 40) + 1)) AS n FROM p WHERE total >= 2)""",
+SELECT page_id, n::INTEGER AS page_no, 'https://list.example.org/p/' || page_id || '?page=' || n AS target FROM (SELECT page_id, unnest(range(2, total + 1)) AS n FROM p WHERE total >= 2)""",
 )
 def numbered_pages(spark, sf_dir):
-    """Pages of listings that state how many they have; the listing itself ends at forty."""
+    """Pages of listings that state how many they have."""
     p = table(spark, sf_dir, "part").groupBy(F.expr(f"p_partkey div {_PER_PAGE}").alias("page_id")).agg(F.max("p_size").alias("total"))
     pages = p.select("page_id", F.expr("concat('https://list.example.org/p/', page_id)").alias("url"), F.expr("concat('<p>Page 1 of ', total, '</p>')").alias("html"))
-    return fl.numbered_pages(h.parse_pages(pages), r"Page 1 of (\d+)", "page", 40)
+    return fl.numbered_pages(h.parse_pages(pages), r"Page 1 of (\d+)", "page")
 
 
 @query(

@@ -89,6 +89,7 @@ def region_table(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(fv.REGIONS, "id string, name_en string, name_ar string, slug string"))
 
 
-def captured_json(pages: DataFrame, most: int = 20) -> DataFrame:
-    """(page_id, pos, body): the first captured JSON responses of each page, at most ``most`` of them."""
-    return pages.select("page_id", F.posexplode(F.slice("network_json", 1, most)).alias("pos", "body"))
+def captured_json(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """(page_id, pos, body): the captured JSON responses of each page; ``most`` keeps the first ones."""
+    found = F.col("network_json") if most is None else F.slice("network_json", 1, most)
+    return pages.select("page_id", F.posexplode(found).alias("pos", "body"))

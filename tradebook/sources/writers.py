@@ -199,3 +199,56 @@ def latest_version(spark: SparkSession, folder: str) -> tuple[int, DataFrame | N
     if not done:
         return -1, None
     return done[-1], spark.read.parquet(f"{folder}/v={done[-1]}")
+
+
+_MAKER = "_made_by"
+
+
+def _versions(spark: SparkSession, folder: str):
+    """Hadoop's file system, and (number, path) of all versions, finished or not."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(base) if s.getPath().getName().startswith("v=")] if fs.exists(base) else []
+    return fs, sorted(((int(p.getName()[2:]), p) for p in found), key=lambda x: x[0])
+
+
+def add_version(df: DataFrame, folder: str, version: int, made_by: str) -> None:
+    """Write a new version with the mark of who made it.
+
+    The mark is there before the rows, and the version counts once Spark has set its success mark, so either both are
+    there or none.  What a failed attempt left under this number goes first.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/v={version}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+        raise ValueError(f"{path.toString()} is finished already")
+    fs.delete(path, True)
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(path, _MAKER))
+    out.write(bytearray(made_by.encode()))
+    out.close()
+    df.write.mode("append").parquet(f"{folder}/v={version}")
+
+
+def version_makers(spark: SparkSession, folder: str) -> set[str]:
+    """Marks of all finished versions."""
+    jvm = spark.sparkContext._jvm
+    fs, found = _versions(spark, folder)
+    marks = set()
+    for _, path in found:
+        mark = jvm.org.apache.hadoop.fs.Path(path, _MAKER)
+        if fs.exists(mark) and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+            stream = fs.open(mark)
+            marks.add(bytes(stream.readAllBytes()).decode())
+            stream.close()
+    return marks
+
+
+def drop_versions(spark: SparkSession, folder: str, upto: int) -> None:
+    """Remove the versions numbered ``upto`` and less."""
+    fs, found = _versions(spark, folder)
+    for number, path in found:
+        if number <= upto:
+            fs.delete(path, True)

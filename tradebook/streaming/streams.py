@@ -1,7 +1,7 @@
 """Structured Streaming over the same operators.
 
 Results that grow with the input go to versioned folders, one version per
-micro-batch: a replayed batch writes the same version again.
+micro-batch; a replayed batch is known by the mark of its version.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tradebook.functions import urls
 from tradebook.functions.semantics import millis
-from tradebook.sources.writers import latest_version, write_version
+from tradebook.sources.writers import add_version, drop_versions, latest_version, version_makers
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -52,13 +52,16 @@ def on_change(stream: DataFrame, result: Callable[[], DataFrame], callback: Call
 
 
 def windowed_metrics(points: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counter, gauge and histogram figures per window; rows later than the watermark are dropped."""
+    """Counter, gauge and histogram figures per window; rows later than the watermark are dropped.
+
+    In update mode a window's state goes once the watermark has passed it.  Of points at one time the larger is the last.
+    """
     return (
         points.withWatermark("ts", late)
         .groupBy(F.window("ts", width), "metric", "tags_key")
         .agg(
             F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("min"), F.max("value").alias("max"),
-            F.max_by("value", "ts").alias("last"),
+            F.max_by("value", F.struct("ts", "value")).alias("last"),
         )
         .select(F.col("window.start").alias("window_start"), "metric", "tags_key", "n", "total", "min", "max", "last")
     )
@@ -70,23 +73,25 @@ _LIMIT_STATE = "used long, expires long"
 def limited_calls(calls: DataFrame, key: str, window_ms: int, most: int) -> DataFrame:
     """Fixed-window limit per key: the first call opens a window in which ``most`` calls pass.
 
-    ``calls`` has the key, call_id and ts.  The state of a key is two numbers; its
-    rows pass through in batches and are never held.
+    ``calls`` has the key, call_id and ts.  The calls that a key makes in one
+    micro-batch are judged in order of time, whatever the order of the rows; a call
+    that comes in a later batch is judged by the window open then.  The state of a
+    key is two numbers.
     """
     keyed = calls.select(F.col(key).cast("string").alias("key"), F.col("call_id").cast("long").alias("call_id"), millis(F.col("ts")).alias("at"))
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used, expires = state.get if state.exists else (0, -1)
-        for frame in frames:
-            allowed = []
-            for at in frame["at"]:
-                if at < expires:
-                    ok = used < most
-                    used += ok
-                else:
-                    ok, used, expires = True, 1, int(at) + window_ms
-                allowed.append(bool(ok))
-            yield pd.DataFrame({"key": k[0], "call_id": frame["call_id"].to_numpy(), "allowed": allowed})
+        frame = pd.concat(list(frames)).sort_values(["at", "call_id"])
+        allowed = []
+        for at in frame["at"]:
+            if at < expires:
+                ok = used < most
+                used += ok
+            else:
+                ok, used, expires = True, 1, int(at) + window_ms
+            allowed.append(bool(ok))
+        yield pd.DataFrame({"key": k[0], "call_id": frame["call_id"].to_numpy(), "allowed": allowed})
         state.update((int(used), int(expires)))
 
     return keyed.groupBy("key").applyInPandasWithState(
@@ -101,19 +106,24 @@ def seed_stream(found: DataFrame, late: str = "1 hour") -> DataFrame:
     return tagged.withWatermark("ts", late).dropDuplicatesWithinWatermark(["canonical_url"])
 
 
-def keep_versions(folder: str, change: Callable[[DataFrame, DataFrame | None], DataFrame]) -> Batch:
-    """Batch step: new version = change(batch, current table).
+def keep_versions(folder: str, change: Callable[[DataFrame, DataFrame | None], DataFrame], keep_last: int | None = 20) -> Batch:
+    """Batch step: the version after the newest = change(batch, current table).
 
-    A batch builds on the newest version below its own number, so running it again
-    after a failure starts from the same table.
+    A version carries the stream and the batch that made it.  A batch that some
+    version already holds is passed over, so a replay changes nothing; a table that
+    was there before, or a stream begun anew, is built upon and never written over.
+    The last ``keep_last`` versions stay (None: all).
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
+        made_by = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or ''}:{batch_id}"
+        if made_by in version_makers(spark, folder):
+            return
         newest, current = latest_version(spark, folder)
-        if newest >= batch_id:
-            current = spark.read.parquet(f"{folder}/v={batch_id - 1}") if batch_id > 0 and newest > 0 else None
-        write_version(change(df, current), folder, batch_id)
+        add_version(change(df, current), folder, newest + 1, made_by)
+        if keep_last is not None:
+            drop_versions(spark, folder, newest + 1 - keep_last)
 
     return batch
 
