@@ -112,6 +112,15 @@ def test_candidates_equal_all_pairs(spark):
     assert got == want
 
 
+def test_candidates_by_either_name_and_below_a_host(spark):
+    stored = spark.createDataFrame(
+        [(1, "Gulf Pumps", "مضخات الخليج", ""), (2, "x", "", "http://shop.x.com/a"), (3, "y", "", "http://www.x.com/"), (4, "z", "", "http://xx.com/")],
+        "id long, name_en string, name_ar string, website_url string",
+    )
+    probes = spark.createDataFrame([(11, None, "الخليج", None), (12, "q", "", "http://x.com/")], stored.schema)
+    assert {tuple(r) for r in rs.candidates(probes, stored).collect()} == {(11, 1), (12, 2), (12, 3)}
+
+
 def test_search_many_equals_scan(spark):
     rnd = random.Random(3)
     vocab = ["the"] * 6 + ["pump", "valve", "steel", "gulf", "pipe"]

@@ -59,7 +59,7 @@ def search(index: DataFrame, text: str, limit: int = 20, offset: int = 0) -> Dat
 
 def postings(index: DataFrame, key: str = "id", text: str = "searchable_text") -> DataFrame:
     """(term, key): distinct words of every row."""
-    words = F.array_distinct(F.filter(F.split(F.col(text), " "), lambda w: w != ""))
+    words = F.array_distinct(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""))
     return index.select(key, F.explode(words).alias("term"))
 
 

@@ -284,16 +284,14 @@ def resolved_groups(spark, sf_dir):
     "rank_candidates",
     f"""WITH {_FIRMS_SQL}, p AS (SELECT id, lower(name_en) AS name, regexp_extract(website_url, '^http://([^/]+)', 1) AS host, {_BARE} AS bare, name_en, linkedin_url FROM firms),
 c AS (SELECT a.id AS probe_id, b.id AS candidate_id, a.name_en AS an, b.name_en AS bn, a.bare AS ab, b.bare AS bb, a.host AS ah, b.host AS bh, a.linkedin_url AS al, b.linkedin_url AS bl
-  FROM p a JOIN p b ON a.id <> b.id AND ((a.host <> '' AND a.host = b.host) OR (a.host = '' AND contains(b.name, a.name))) WHERE a.id IN (SELECT min(id) FROM p GROUP BY name_en)),
+  FROM p a JOIN p b ON a.id <> b.id AND ((a.host <> '' AND (a.host = b.host OR ends_with(b.host, '.' || a.host))) OR (a.host = '' AND contains(b.name, a.name)))),
 s AS (SELECT *, CASE WHEN ah <> '' AND ah = bh THEN 0.95 WHEN {_match_sql('ab', 'bb')} > 0.85 THEN {_match_sql('ab', 'bb')} ELSE 0 END AS verdict,
   (greatest(length(an), length(bn)) - levenshtein(lower(an), lower(bn)))::DOUBLE / greatest(length(an), length(bn)) AS sim FROM c)
 SELECT probe_id, candidate_id, floor(greatest(verdict, sim * 0.8) * 1000 + 0.5) / 1000 AS match_score,
   CASE WHEN greatest(verdict, sim * 0.8) >= 0.9 THEN 'merge' WHEN greatest(verdict, sim * 0.8) >= 0.75 THEN 'review' ELSE 'dismiss' END AS recommended_action FROM s""",
 )
 def rank_candidates(spark, sf_dir):
-    """Candidates of the first company of every name, scored."""
+    """Candidates of every company, scored."""
     f = _firms(spark, sf_dir)
-    firsts = f.groupBy("name_en").agg(F.min("id").alias("id")).select("id")
-    probes = f.join(firsts, "id", "left_semi")
-    out = rs.ranked_candidates(rs.candidates(probes, f), f)
+    out = rs.ranked_candidates(rs.candidates(f, f), f)
     return out.select("probe_id", "candidate_id", "match_score", "recommended_action")

@@ -260,13 +260,13 @@ def search_terms(spark, sf_dir):
 
 @query(
     "search_many",
-    f"""WITH d AS (SELECT doc_id AS id, string_split({_SEARCHABLE}, ' ') AS words FROM documents),
-q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda w: w <> '')) AS terms FROM benchmark)
+    f"""WITH d AS (SELECT doc_id AS id, string_split_regex({_SEARCHABLE}, '\\s+') AS words FROM documents),
+q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^\\w\\s]', ' ', 'g')), '\\s+'), lambda w: w <> '')) AS terms FROM benchmark)
 SELECT query_id, id FROM q JOIN d ON list_has_all(d.words, q.terms)""",
 )
 def search_many(spark, sf_dir):
-    """Every passage as a query of all its words, in all texts at once."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    """Every passage as a query of all its words, in all texts at once; marks are blanks in both."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace(F.lower("text"), r"[^\w\s]", " ").alias("query"))
     return se.search_many(q, _index(spark, sf_dir))
 
 
