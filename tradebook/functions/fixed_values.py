@@ -272,6 +272,21 @@ EXCLUDED_IMAGE_WORDS = [
     "mcci", "government", "fsc", "modon", "eamana", "vision2030",
 ]
 
+# pages that stand for a refusal; marks count together with CHALLENGE_HOST
+CHALLENGE_PHRASES = [
+    "wait while we verify your browser", "perimeterx", "incapsula", "distil networks",
+    "<title>403 forbidden</title>", "<title>access denied</title>", "<title>just a moment...</title>",
+]
+CHALLENGE_HOST = "cloudflare"
+CHALLENGE_MARKS = ['id="challenge-running"', 'id="cf-challenge"', "__cf_chl_opt"]
+FIREWALL_PHRASES = ["mod_security", "not acceptable", "access denied"]
+EMPTY_PAGE_LENGTH = 200
+
+ASSET_ENDINGS = ["jpg", "jpeg", "png", "gif", "pdf", "zip", "docx", "xlsx", "css", "js"]
+PARKED_NAMES = ["parked", "for.?sale", "buy.?domain", "buy.?website", "domain.?name.?search", "whois"]
+DETAIL_PAGE = r"(?i)/home/factorydetails/\d+"
+FIRST_PUBLIC_ID = 100001
+
 GENERIC_ASSET_PATHS = ["/assets/", "/static/", "/wp-content/themes/", "/header", "/footer", "/nav", "/theme/"]
 DIRECTORY_WORDS = ["chamber", "mcci", "fsc", "modon", "eamana"]
 

@@ -64,6 +64,21 @@ def truthy(c: Column, dtype: T.DataType | None = None) -> Column:
     return c.isNotNull()
 
 
+def json_truthy(doc: Column, path: str) -> Column:
+    """``truthy`` of a value inside a variant: missing, null, '', 0 and false are not there, lists and objects are."""
+    def by_kind(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return (
+            F.when(v.isNull() | (kind == "VOID"), False)
+            .when(kind == "STRING", F.try_variant_get(v, "$", "string") != "")
+            .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+            .when(kind.rlike("^(ARRAY|OBJECT)"), True)
+            .otherwise(F.coalesce(F.try_variant_get(v, "$", "double") != 0, F.lit(True)))
+        )
+
+    return let(F.try_variant_get(doc, path, "variant"), by_kind)
+
+
 def has_value(c: Column) -> Column:
     """True for a string that holds anything but blanks."""
     return F.coalesce(trim_blanks(c) != "", F.lit(False))

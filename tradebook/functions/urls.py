@@ -11,8 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tradebook.functions.fixed_values import (
+    ASSET_ENDINGS,
+    FIRST_PUBLIC_ID,
     PAGE_PATTERNS,
     PAGE_WORDS,
+    PARKED_NAMES,
     SEED_TAG_WORDS,
     SOCIAL_PATTERNS,
     TRACKING_KEYS,
@@ -305,6 +308,23 @@ def social_url(href: Column, platform: str) -> Column:
     return F.when(hit != "", F.when(hit.startswith("http"), hit).otherwise(F.concat(F.lit("https://"), hit)))
 
 
+def is_asset(url: Column) -> Column:
+    """True for an address that ends like a picture, document, style or script; null for a null."""
+    return url.rlike(rf"(?i)\.(?:{'|'.join(ASSET_ENDINGS)})\z")
+
+
+def is_parked_name(site: Column) -> Column:
+    """True when the domain name itself speaks of a parked or offered domain."""
+    return F.coalesce(F.lower(site).rlike("|".join(PARKED_NAMES)), F.lit(False))
+
+
+def is_public_id(text: Column) -> Column:
+    """True for a text of digits that is no smaller than the first public id, however long."""
+    digits = F.regexp_replace(text, "^0+", "")
+    large = (F.length(digits) > len(str(FIRST_PUBLIC_ID))) | (digits.try_cast("long") >= FIRST_PUBLIC_ID)
+    return F.coalesce(text.rlike(r"^[0-9]+\z") & large, F.lit(False))
+
+
 def seed_tags(site: Column) -> Column:
     """Distinct tags whose word occurs in the domain."""
     return F.array_distinct(

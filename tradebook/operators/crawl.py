@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradebook.functions import fixed_values as fv
 from tradebook.functions import urls
-from tradebook.functions.semantics import millis
-from tradebook.operators.keys import numbered, top_per_key
+from tradebook.functions.semantics import blank_to_null, json_truthy, let, millis
+from tradebook.operators.keys import numbered, ranked_per_key, top_per_key
 
 # --- robots ------------------------------------------------------------------------------------
 
@@ -79,6 +80,96 @@ def robots_allowed(pages: DataFrame, policy: DataFrame, url: str = "url") -> Dat
     ).drop("_origin", "_path", "checks")
 
 
+# --- fetched pages ------------------------------------------------------------------------------
+
+
+def is_challenge(html: Column) -> Column:
+    """True for a page that tests for robots, refuses, or holds next to nothing; a null page holds nothing."""
+    def judged(page: Column) -> Column:
+        has = lambda words: [page.contains(w) for w in words]
+        shield = page.contains(fv.CHALLENGE_HOST) & _any(has(fv.CHALLENGE_MARKS))
+        puzzle = page.contains("captcha") & ~page.contains("recaptcha-badge")
+        return shield | _any(has(fv.CHALLENGE_PHRASES)) | puzzle | (F.length(page) < fv.EMPTY_PAGE_LENGTH)
+
+    return let(F.lower(F.coalesce(html, F.lit(""))), judged)
+
+
+def is_firewall_page(html: Column) -> Column:
+    """True for a page that an application firewall sent in place of the real one."""
+    return let(F.lower(F.coalesce(html, F.lit(""))), lambda page: _any([page.contains(w) for w in fv.FIREWALL_PHRASES]))
+
+
+def _any(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
+def with_refusal(pages: DataFrame) -> DataFrame:
+    """Adds ``refusal``: 'challenge', 'firewall' or null for a page that can be read.
+
+    Readable pages go to extraction, the others to ``refusal_errors``.
+    """
+    return pages.withColumn(
+        "refusal", F.when(is_challenge(F.col("html")), "challenge").when(is_firewall_page(F.col("html")), "firewall")
+    )
+
+
+ERROR_COLUMNS = ["run_id", "source_url", "error_type", "error_message", "html_snapshot", "screenshot_url"]
+
+
+def error_rows(failures: DataFrame) -> DataFrame:
+    """Failures as stored error rows; optional columns that are missing or empty are null."""
+    return failures.select(
+        *[(blank_to_null(F.col(c)) if c in failures.columns else F.lit(None).cast("string")).alias(c) for c in ERROR_COLUMNS]
+    )
+
+
+def refusal_errors(judged: DataFrame) -> DataFrame:
+    """Error rows of the refused pages (run_id, url, html, refusal): 'failed_request' when nothing came, else 'blocked'."""
+    nothing = F.coalesce(F.length("html"), F.lit(0)) == 0
+    return error_rows(
+        judged.where("refusal is not null").select(
+            "run_id", F.col("url").alias("source_url"),
+            F.when(nothing, "failed_request").otherwise("blocked").alias("error_type"),
+            F.when(nothing, "No pages were returned by the scrape pipeline.")
+            .otherwise("Target blocked the request or robots policy denied access.").alias("error_message"),
+            F.col("html").alias("html_snapshot"),
+        )
+    )
+
+
+def run_outcomes(outcomes: DataFrame) -> DataFrame:
+    """One row per run from its (run_id, kind) rows; kind is 'page', 'saved', 'failed' or 'blocked'.
+
+    A run with pages is partial or completed; one without is blocked or failed and
+    counts as one failure.
+    """
+    n = outcomes.groupBy("run_id").agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in ("page", "saved", "failed", "blocked")])
+    empty, blocked = F.col("_page") == 0, F.col("_blocked") > 0
+    return n.select(
+        "run_id",
+        F.when(empty & blocked, "blocked").when(empty, "failed").when(F.col("_failed") > 0, "partial").otherwise("completed").alias("status"),
+        F.col("_page").alias("total_pages"),
+        F.when(empty, 0).otherwise(F.col("_saved")).alias("total_success"),
+        F.when(empty, 1).otherwise(F.col("_failed")).alias("total_failed"),
+        F.when(empty & blocked, "Blocked").when(empty, "No results found").alias("error_message"),
+    )
+
+
+def with_home_page(pages: DataFrame, homes: DataFrame, key: str, order: list, k: int) -> DataFrame:
+    """The first ``k`` pages of a site as ``position`` 1 to k, the home page put first where none is among them.
+
+    ``pages`` has the key, url, page_type and confidence; ``homes`` has (key, url),
+    one row per site.  The second ranking sees at most k + 1 rows of a site.
+    """
+    best = ranked_per_key(pages, [key], order, k, "_rank").select(key, "url", "page_type", "confidence", "_rank")
+    without = homes.join(best.where("page_type = 'homepage'").select(key).distinct(), key, "left_anti")
+    added = without.select(key, "url", F.lit("homepage").alias("page_type"), F.lit(0.95).alias("confidence"), F.lit(0).alias("_rank"))
+    return ranked_per_key(best.unionByName(added), [key], ["_rank"], k, "position").drop("_rank")
+
+
 # --- seeds --------------------------------------------------------------------------------------
 
 
@@ -146,6 +237,26 @@ def enqueue(jobs: DataFrame, requests: DataFrame, order: str) -> DataFrame:
     return fresh.withColumns({"status": F.lit("pending"), "attempts": F.lit(0)})
 
 
+def evidence_fault(payload: Column) -> Column:
+    """Why a job that stores evidence cannot run, or null: its JSON payload must name a company and hold evidence."""
+    def judged(doc: Column) -> Column:
+        named = json_truthy(doc, "$.company_id") | json_truthy(doc, "$.companyId")
+        listed = F.schema_of_variant(F.try_variant_get(doc, "$.evidence", "variant")).startswith("ARRAY")
+        first = F.try_variant_get(doc, "$.evidence[0]", "variant").isNotNull()
+        proven = F.when(listed, first).otherwise(json_truthy(doc, "$.evidence"))
+        return F.when(~F.coalesce(named, F.lit(False)), "Evidence store failed: missing company_id in payload").when(
+            ~F.coalesce(proven, F.lit(False)), "Evidence store failed: missing evidence in payload"
+        )
+
+    return let(F.try_parse_json(payload), judged)
+
+
+def judge_evidence_jobs(jobs: DataFrame) -> DataFrame:
+    """Evidence jobs with their outcome: 'completed', or 'failed' with the reason as ``error_message``."""
+    out = jobs.withColumn("error_message", evidence_fault(F.col("payload")))
+    return out.withColumn("status", F.when(F.col("error_message").isNull(), "completed").otherwise("failed"))
+
+
 def claim_order(jobs: DataFrame, as_of: Column, limit: int) -> DataFrame:
     """The pending, due jobs a worker would take next: priority, then age."""
     due = jobs.where((F.col("status") == "pending") & (F.col("scheduled_at") <= as_of))

@@ -20,6 +20,7 @@ from tradebook.functions import urls
 from tradebook.functions.semantics import let_sql
 from tradebook.operators import html as h
 from tradebook.operators.fields import json_ld_texts
+from tradebook.session import checkpointed
 
 _NOTHING = "cast(NULL AS string)"
 _RECORD_TYPE = (
@@ -402,6 +403,39 @@ def extract_records(parsed: DataFrame, strategies: Sequence[str] | None = None)
     )
 
 
+_LISTING_COLUMNS = [
+    "page_id", "ordinal", "strategy", "name_en", "name_ar", "website_url", "email", "phone", "full_address", "description_en",
+    "source_url", "confidence_score",
+]
+
+
+def choose_listing(parsed: DataFrame) -> DataFrame:
+    """Records of guide pages by the reading that found more: article sections, cards, or tables where no card is.
+
+    Sections win with two or more of them on a page that looks like a guide (a
+    'Website:' line and two small headings), or when they name at least as many
+    sites as the cards or tables do.
+    """
+    sections = article_sections(parsed).withColumns({"ordinal": F.col("section_no"), "strategy": F.lit("article")})
+    boxed = extract_records(parsed, ["b2b_cards", "table"]).withColumn("full_address", F.lit(None).cast("string"))
+    rows = checkpointed(sections.select(*_LISTING_COLUMNS).unionByName(boxed.select(*_LISTING_COLUMNS)))
+    site = F.coalesce(F.col("website_url") != "", F.lit(False))
+    article = F.col("strategy") == "article"
+    counts = rows.groupBy("page_id").agg(
+        F.count_if(article).alias("_sections"), F.count_if(~article).alias("_boxes"),
+        F.count_if(article & site).alias("_section_sites"), F.count_if(~article & site).alias("_box_sites"),
+    )
+    guide = parsed.select(
+        "page_id",
+        (F.expr(h.body_text()).rlike(r"(?i)\bwebsite\s*:") & (F.size(F.expr(h.all_of("n.tag IN ('h3', 'h4')"))) >= 2)).alias("_guide"),
+    )
+    by_article = (F.col("_boxes") == 0) | (
+        (F.col("_sections") >= 2) & (F.coalesce("_guide", F.lit(False)) | (F.col("_section_sites") >= F.col("_box_sites")))
+    )
+    choice = counts.join(guide, "page_id").select("page_id", by_article.alias("_by_article"))
+    return rows.join(choice, "page_id").where(F.col("_by_article") == article).select(*_LISTING_COLUMNS)
+
+
 def pages_without_records(parsed: DataFrame, records: DataFrame) -> DataFrame:
     """Pages no rule could read: the input of the fallback requests."""
     return parsed.join(records.select("page_id").distinct(), "page_id", "left_anti").select("page_id", "url", "text")

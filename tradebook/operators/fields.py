@@ -14,6 +14,8 @@ from tradebook.functions import text as tx
 from tradebook.functions import urls
 from tradebook.functions.semantics import trim_blanks
 from tradebook.operators import html as h
+from tradebook.operators.keys import top_per_key
+from tradebook.session import checkpointed
 
 
 def _field(value: Column, confidence: float, source: str, ok: Column) -> Column:
@@ -389,8 +391,28 @@ def profile_links(parsed: DataFrame) -> DataFrame:
 def fill_single_records(records: DataFrame, fields: DataFrame) -> DataFrame:
     """Page values fill gaps of a record only where the page gave exactly one record."""
     single = records.groupBy("page_id").agg(F.count("*").alias("_n")).where("_n = 1").select("page_id")
-    page = fields.join(single, "page_id", "left_semi").select(
-        "page_id", F.col("description.value").alias("_description"), F.get("emails.value", F.lit(0)).alias("_email"),
+    return _fill_gaps(records, _page_values(fields.join(single, "page_id", "left_semi"), "page_id"), "page_id")
+
+
+def fill_from_details(records: DataFrame, fields: DataFrame, pattern: str = fv.DETAIL_PAGE) -> DataFrame:
+    """Listing records take what they lack from their own detail page, found by the canonical form of ``source_url``.
+
+    A detail page speaks of one company, so its page-level values are safe.  Of
+    several fetched copies the one with the smallest page_id counts.  Records that
+    point to no detail page are passed by without a shuffle.
+    """
+    is_detail = F.coalesce(F.col("source_url").rlike(pattern), F.lit(False))
+    page = _page_values(fields.withColumn("_at", urls.canonical_url(F.col("url"))).where("_at is not null"), "_at", "page_id")
+    page = page.withColumn("_website", F.coalesce(urls.canonical_url(F.col("_website")), "_website")).drop("_logo")
+    first = checkpointed(top_per_key(page, ["_at"], ["page_id"]).drop("page_id"))  # written, so that a hot address can be split
+    filled = _fill_gaps(records.where(is_detail).withColumn("_at", urls.canonical_url(F.col("source_url"))), first, "_at")
+    return filled.drop("_at").unionByName(records.where(~is_detail))
+
+
+def _page_values(fields: DataFrame, *keys: str) -> DataFrame:
+    """The values of a page that can fill a record, narrow, with their confidences as a map."""
+    return fields.select(
+        *keys, F.col("description.value").alias("_description"), F.get("emails.value", F.lit(0)).alias("_email"),
         F.get("phones.value", F.lit(0)).alias("_phone"), F.col("website.value").alias("_website"),
         F.col("logo.value").alias("_logo"), F.col("address.value").alias("_address"),
         F.map_filter(
@@ -402,14 +424,18 @@ def fill_single_records(records: DataFrame, fields: DataFrame) -> DataFrame:
             lambda k, x: x > 0,
         ).alias("_conf"),
     )
+
+
+def _fill_gaps(records: DataFrame, page: DataFrame, key: str) -> DataFrame:
+    """Empty fields of the records take the page's value and its confidence."""
     pairs = {
         "description_en": "_description", "email": "_email", "phone": "_phone", "website_url": "_website",
         "logo_url": "_logo", "full_address": "_address",
     }
-    have = [c for c in pairs if c in records.columns]
+    have = [c for c in pairs if c in records.columns and pairs[c] in page.columns]
     taken = {c: (F.col(c).isNull() | (F.col(c) == "")) & F.col(pairs[c]).isNotNull() for c in have}
     # a projection of its own: a lambda beside a redefined column would see the new value
-    out = records.join(page, "page_id", "left").withColumn(
+    out = records.join(page, key, "left").withColumn(
         "_used", F.array_compact(F.array(*[F.when(taken[c], F.lit(c)) for c in have]))
     )
     if "field_confidence" in records.columns:

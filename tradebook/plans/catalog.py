@@ -1,6 +1,7 @@
 """Loads every query module, so that the registry is complete."""
 
 from tradebook.plans import (  # noqa: F401
+    crawl_queries,
     dedupe_queries,
     metric_queries,
     page_queries,
