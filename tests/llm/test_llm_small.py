@@ -295,3 +295,15 @@ def test_a_cut_archive_is_an_error():
     list(cut.feed(warc_normal._record(_rows()[1])[:-3]))
     with pytest.raises(ValueError):
         cut.finish()
+
+
+def test_small_words_are_encoded_as_whole_texts_are():
+    from tokenizers import Tokenizer
+
+    path = tokenise.word_bpe_path()
+    library = Tokenizer.from_file(path)
+    pieces = "grün Straße été été Σας ΟΔΟΣ οδος İstanbul ǅ ŉ ﬁx مرحبا שלום 漢字 हिन्दी ไทย ½ x² don't a-b c, d. E!".split()
+    texts = [" ".join(pieces), "", "plain words only", *pieces, *[a + b for a in pieces for b in pieces]]
+    got = tokenise.Words(path).encode(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text

@@ -8,6 +8,7 @@ of chunks it has met in a memory of bounded size.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -37,15 +38,26 @@ def _cut(chunk: bytes) -> tuple[bytes, bytes]:
     return bare, chunk[len(bare) :]
 
 
+def _is_small(word: str) -> bool:
+    """True for letters that neither normalising nor making small would change."""
+    return word.isalpha() and (word.isascii() or word == word.lower() and unicodedata.is_normalized("NFC", word))
+
+
 class Words:
     """Ids of chunks as little-endian 32-bit integers, kept in a memory of bounded size."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
+        # the same vocabulary and merges for words of small letters, which its normaliser and its pattern leave as they are
+        self.small = Tokenizer.from_file(path)
+        self.small.no_truncation()
+        self.small.normalizer = None
+        self.small.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -53,27 +65,31 @@ class Words:
         self._chunks: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[bytes]) -> None:
         """Encode new chunks together: the library is far faster on many words in one string."""
-        cut = {c: _cut(c) for c in new}
-        bare = {b for b, _ in cut.values()}.union(m for _, m in cut.values()).difference(self._bare)
-        texts = [(b, b.decode()) for b in bare]
-        words = [(b, w) for b, w in texts if w.isalpha()]
-        other = [(b, w) for b, w in texts if not w.isalpha()]
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            ids = np.array(self.library.encode(" ".join([w for _, w in part]), add_special_tokens=False).ids, "<u4")
+        whole = [c for c in new if c.isalpha()]  # A-Z alone
+        cut = [(c, *_cut(c)) for c in new.difference(whole)]
+        bare = set(whole).union([b for _, b, _ in cut], [m for _, _, m in cut]).difference(self._bare)
+        small = [b for b in bare if b.isalpha()]
+        rest = [(b, b.decode()) for b in bare.difference(small)]
+        small += [b for b, w in rest if _is_small(w)]
+        other = [b for b, w in rest if not _is_small(w)]
+        for at in range(0, len(small), 200):
+            part = small[at : at + 200]
+            found = self.small.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
             ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(ends) == len(part) and ends[-1] == 4 * len(ids):  # one end of word for each word
                 raw, stops = ids.tobytes(), ends.tolist()
-                self._bare.update(zip([b for b, _ in part], [raw[a:e] for a, e in zip([0, *stops], stops)]))  # noqa: B905
+                self._bare.update(zip(part, [raw[a:e] for a, e in zip([0, *stops], stops)]))  # noqa: B905
             else:
                 other += part
-        self._bare.update(zip([b for b, _ in other], self._whole([w for _, w in other]), strict=True))
+        self._bare.update(zip(other, self._whole([b.decode() for b in other]), strict=True))
         known = self._bare
-        self._chunks.update([(c, known[b] + known[m]) for c, (b, m) in cut.items()])
+        self._chunks.update([(c, known[c]) for c in whole])
+        self._chunks.update([(c, known[b] + known[m]) for c, b, m in cut])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is empty."""
