@@ -10,6 +10,7 @@ from tradebook.functions import urls
 from tradebook.functions.fixed_values import PREFERRED_EVIDENCE_PAGE
 from tradebook.operators.keys import chunked, top_per_key
 from tradebook.operators.records import clamped
+from tradebook.session import checkpointed
 
 
 def field_values(companies: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
@@ -139,7 +140,7 @@ def source_page_rows(pages: DataFrame, as_of: Column, status: str = "raw") -> Da
 def stored_page_ids(pages: DataFrame, stored: DataFrame, order: str) -> DataFrame:
     """Pages with the id of the first stored row of the same comparable address."""
     first = stored.select(urls.comparable_url(F.coalesce("canonical_url", "url")).alias("_key"), F.col("id").alias("_id"), order).where("_key <> ''")
-    ids = first.groupBy("_key").agg(F.min_by("_id", order).alias("stored_id"))
+    ids = checkpointed(first.groupBy("_key").agg(F.min_by("_id", order).alias("stored_id")))
     return pages.withColumn("_key", urls.comparable_url(F.col("url"))).join(ids, "_key", "left").drop("_key")
 
 
@@ -162,8 +163,8 @@ def page_bundle(pages: DataFrame, group: str, order: list) -> DataFrame:
     from tradebook.operators.keys import numbered
 
     placed = numbered(pages, order, [group], "_n")
-    totals = pages.groupBy(group).agg(
-        F.count("*").alias("total_pages"), F.ceil(F.sum(F.length("html")) / 1024).alias("total_html_kb")
+    totals = checkpointed(
+        pages.groupBy(group).agg(F.count("*").alias("total_pages"), F.ceil(F.sum(F.length("html")) / 1024).alias("total_html_kb"))
     )
     return placed.withColumn("page_order", F.col("_n") - 1).drop("_n").join(totals, group)
 

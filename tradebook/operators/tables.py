@@ -12,6 +12,7 @@ from tradebook.functions import text as tx
 from tradebook.functions import urls
 from tradebook.functions.semantics import blank_to_null, first_truthy, let, trim_blanks
 from tradebook.operators.keys import numbered, top_per_key
+from tradebook.session import checkpointed
 
 # --- reading ----------------------------------------------------------------------------------------
 
@@ -119,14 +120,15 @@ def repair_unique(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     A slug clash with another row strips the slug's numeric tail and appends the id.
     """
     key = lambda c: F.lower(trim_blanks(F.col(c)))
-    by_name = stored.groupBy(key("name_en").alias("_key")).agg(F.min("id").alias("_stored_id")).where("_key <> ''")
+    # both minima are written, so that the join of a hot name or slug can be split
+    by_name = checkpointed(stored.groupBy(key("name_en").alias("_key")).agg(F.min("id").alias("_stored_id")).where("_key <> ''"))
     named = (
         incoming.withColumn("_key", key("name_en")).join(by_name, "_key", "left")
         .withColumn("id", F.coalesce("_stored_id", "id")).drop("_key", "_stored_id")
     )
     owners = stored.select("slug", F.col("id").alias("_owner")).unionByName(named.select("slug", F.col("id").alias("_owner")))
     # every slug belongs to its stored holder, else to the first incoming one
-    owner = (
+    owner = checkpointed(
         owners.where("slug <> ''").groupBy("slug").agg(F.min("_owner").alias("_any"))
         .join(stored.groupBy("slug").agg(F.min("id").alias("_held")), "slug", "left")
         .select("slug", F.coalesce("_held", "_any").alias("_owner"))
@@ -189,10 +191,11 @@ def match_existing(new: DataFrame, stored: DataFrame, order: str, fallback_sourc
 
     Order of the rules: same website; same source and name; same name; same source
     when the record has no name.  Per key the last stored row (by ``order``) counts.
-    Both sides are cut to (kind, key, id) before the one join.
+    Both sides are cut to (kind, key, id) before the one join; the stored side is
+    written, so that a key which many new records share can be split.
     """
-    s = _keyed(stored, list(dict.fromkeys(["id", order]))).groupBy("kind", "key").agg(
-        F.max_by(F.struct("id", "_name"), order).alias("hit")
+    s = checkpointed(
+        _keyed(stored, list(dict.fromkeys(["id", order]))).groupBy("kind", "key").agg(F.max_by(F.struct("id", "_name"), order).alias("hit"))
     )
     n = _keyed(new, ["id"], fallback_source)
     prio = (
