@@ -2,9 +2,11 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradebook.operators import resolve
 from tradebook.operators import tables as tb
 from tradebook.sources import readers as rd
 from tradebook.sources import schemas as sc
@@ -134,3 +136,36 @@ def test_change_subscription(spark, tmp_path):
     stream = st.on_change(st.file_stream(spark, folder, df.schema), lambda: spark.read.parquet(folder).where("id > 0"), lambda out: seen.append(out.count()))
     st.run_to_end(stream, str(tmp_path / "ck"))
     assert seen == [1, 2]
+
+
+@pytest.mark.parametrize("job", ["match", "members"])
+def test_join_of_a_hot_key_is_divided(spark, job):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, x in settings.items():
+            spark.conf.set(k, x)
+        rows = spark.range(0, 120_000, numPartitions=8).selectExpr(
+            "id", "if(id % 3 = 0, 0, id) AS grp", "concat('Firm number ', if(id % 3 = 0, 0, id)) AS name_en", "cast(NULL AS string) AS name_ar",
+            "cast(NULL AS string) AS website_url", "cast(NULL AS string) AS source_url", "concat('a', id, '@b.sa') AS email",
+            "cast(NULL AS string) AS phone",
+        )
+        if job == "match":
+            out = tb.match_existing(rows, rows.where("id % 2 = 0").withColumn("ordinal", F.col("id")), "ordinal")
+            assert out.count() == 80_000  # the hot name, and the even ones of the others
+        else:
+            out = resolve.verified_members(rows, "grp", "id")
+            assert out.count() == 40_000  # only the hot group has several members
+        if job == "match":
+            out.collect()
+            assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+        else:
+            share = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+            assert share < 20_000  # the hot group lies in several partitions
+    finally:
+        for k, x in old.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
