@@ -8,7 +8,8 @@ from typing import NamedTuple
 
 # fixed values: element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template textarea title svg math object iframe select option head".split())
+SILENT = frozenset("script style noscript template textarea title svg iframe select option head".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())  # do not end an open head
 RAW = frozenset("script style textarea title iframe noscript template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
@@ -62,7 +63,8 @@ def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page in order, character references decoded and white space made single.
 
     An inline element and a single line break stay inside their block; two line breaks in a row end it.  Scripts,
-    styles, comments and other elements without running text give nothing.  A tag that the end of the page cuts off is
+    styles, comments and other elements without running text give nothing.  A head that is left open ends at the first
+    text or tag that cannot stand in it.  A tag that the end of the page cuts off is
     dropped.
     """
     html = html or ""
@@ -97,9 +99,15 @@ def blocks(html: str | None) -> list[Block]:
                 return None
         return None
 
+    def leave_head() -> None:
+        if (i := opened(("head",), ())) is not None:
+            close_to(i)
+
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
+        if stack and stack[-1][0] == "head" and html[at : m.start() if m else n].strip():
+            leave_head()
         if m is None:
             if not silent:
                 pieces.append((html[at:], links > 0))
@@ -121,6 +129,8 @@ def blocks(html: str | None) -> list[Block]:
                 close_to(i)
             continue
         attrs = m[3] if m[3] is not None else m[6] or ""
+        if name not in IN_HEAD:
+            leave_head()
         if name == "br":
             breaks += 1
             if breaks > 1:
@@ -146,8 +156,6 @@ def blocks(html: str | None) -> list[Block]:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
             at = n if end is None else (html.find(">", end.start()) + 1 or n)
             continue
-        if name == "body" and (i := opened(("head",), ())) is not None:
-            close_to(i)
         stack.append((name, (stack[-1][1] if stack else ()) + _marks(name, attrs)))
         silent += name in SILENT
         links += name == "a"
