@@ -17,3 +17,9 @@ def test_open_head():
 def test_math_and_object():
     got = " ".join(_texts("<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><object data=f>words inside</object></article>"))
     assert all(w in got.split() for w in "if x = 2 then words inside".split())
+
+
+def test_features_of_whole_block():
+    text = "12 34 " * 80 + "words " * 800 + "One. Two. Three. End."
+    got = page_blocks.text_features(page_blocks.blocks(f"<p>{text}</p>")[0])
+    assert "few-letters" not in got and "stops=3" in got

@@ -169,19 +169,19 @@ def text_features(b: Block) -> list[str]:
     words = text.count(" ") + 1
     share = b.linked / n
     last = text[-1]
-    letters = sum(map(str.isalpha, text[:400]))
+    letters = sum(map(str.isalpha, text))
     out = [
         f"tag={b.tag}" if b.tag not in ("div", "body", "html") else "tag=",
         f"words={min(words, 100).bit_length()}",
         f"link={0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.9 else 3}",
         f"end={'stop' if last in '.!?…。\"”»' else 'colon' if last in ':;,' else 'none'}",
-        f"stops={min(3, len(re.findall(r'[.!?] ', text[:4000])))}",
+        f"stops={min(3, len(re.findall(r'[.!?] ', text)))}",
     ]
     if "©" in text or "(c)" in text.lower():
         out.append("copyright")
     if text.count("|") + text.count("·") + text.count("»") + text.count("›") >= 1 and words < 40:
         out.append("separators")
-    if letters * 2 < min(n, 400):
+    if letters * 2 < n:
         out.append("few-letters")
     if re.match(r"(?i)(home|menu|search|login|log in|sign (in|up)|subscribe|share|tweet|reply|read more|next|previous|advert|sponsored|cookies?)\b", text):
         out.append("command")
