@@ -187,7 +187,7 @@ SELECT page_id, 'article' AS root_tag, md5(regexp_replace({_entities("regexp_rep
 )
 def main_content(spark, sf_dir):
     """Text of the main element without menus and side blocks."""
-    m = ex.main_content(_parsed(spark, sf_dir)).where("root_tag = 'article'")
+    m = ex.main_content(_parsed(spark, sf_dir))
     return m.select("page_id", "root_tag", F.md5(F.regexp_replace("main_text", r"[\s\u00a0]+", "")).alias("main_md5"))
 
 
