@@ -21,9 +21,12 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradebook.llm.common import stored
+
 Q = 12
 BUDGET = 0.07  # edits per character of the item
 BLOCK_CHARS = 4_000_000  # characters of items that a pass holds in each task, about
@@ -228,13 +231,22 @@ def find(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
 MATCHES = "doc_id long, item_id long, start long, end long, edits int"
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[Index]:
-    """Indexes of the items, block by block; the driver holds one block at a time."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[tuple[Index, bool]]:
+    """(index of a block of items, whether more follow), block by block; the driver holds one block at a time."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null")
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-size // block_chars)
     for k in range(n):
-        yield Index.of(sorted((r["i"], r["t"] or "") for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()))
+        found = Index.of(sorted((r["i"], r["t"] or "") for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()))
+        yield found, k < n - 1
+        del found
+
+
+def _written(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """The rows of a pass, written before the next begins, so that one index is alive at a time."""
+    out = stored(rows, "qgram-pass")
+    shared.destroy()
+    return out
 
 
 def matches(
@@ -250,7 +262,7 @@ def matches(
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
 
-    def one_pass(index: Index) -> DataFrame:
+    def one_pass(index: Index, more: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)  # bounded by block_chars
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,16 +275,17 @@ def matches(
                         ["doc_id", "item_id", "start", "end", "edits"],
                     )
 
-        return narrow.mapInArrow(work, MATCHES)
+        found = narrow.mapInArrow(work, MATCHES)
+        return _written(found, shared) if more else found
 
-    passes = [one_pass(i) for i in _blocks(benchmark, item_id, item_text, block_chars)]
+    passes = [one_pass(*i) for i in _blocks(benchmark, item_id, item_text, block_chars)]
     return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], MATCHES)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` with all their columns that hold no benchmark item; decided beside the row, without a join."""
     at, schema, spark = docs.columns.index(text), docs.schema, docs.sparkSession
-    for index in _blocks(benchmark, item_id, item_text, block_chars):
+    for index, more in _blocks(benchmark, item_id, item_text, block_chars):
         shared = spark.sparkContext.broadcast(index)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -280,4 +293,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
                 yield b.filter(pa.array([not find(t, shared.value) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(work, schema)
+        if more:
+            docs = _written(docs, shared)
     return docs
