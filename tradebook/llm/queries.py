@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradebook.llm import crf_extract, fm_quality, golay_dedup, line_quality, pattern_grammar, qgram_decontam, source_mix, token_binary, token_counts, warc_normal
+from tradebook.llm import (
+    bloom_lm, crf_extract, fm_quality, golay_dedup, line_quality, pattern_grammar, prefix_trie, qgram_decontam, source_mix, token_binary, token_counts,
+    warc_normal, whitening,
+)
 from tradebook.llm.common import table
 
 QUERIES: dict = {}
@@ -142,3 +145,47 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
+# crc32 of the decimal id, a bit at a time: each byte is met by eight shifts, the first of which takes it in
+_CRC_SQL = """xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda s, x: xor(xor(s, x) >> 1, (xor(s, x) & 1) * 3988292384)))"""
+
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, {_CRC_SQL} % 9 AS h FROM t GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS k FROM c LEFT JOIN c b ON b.conv_id = c.base),
+u AS (SELECT k.conv_id, i AS pos, r, x FROM k JOIN t ON t.conv_id = k.base AND i <= h
+  UNION ALL SELECT k.conv_id, i - h + k AS pos, r, x FROM k JOIN t ON t.conv_id = k.conv_id AND i > h),
+m AS (SELECT conv_id, pos AS depth, octet_length(encode(x)) AS size,
+    sha256(string_agg(sha256(length(r)::VARCHAR || ':' || r || x), ',') OVER (PARTITION BY conv_id ORDER BY pos)) AS node,
+    coalesce(sha256(string_agg(sha256(length(r)::VARCHAR || ':' || r || x), ',') OVER (PARTITION BY conv_id ORDER BY pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), '') AS up FROM u
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+e AS (SELECT conv_id, max_by(node, depth) AS node FROM m GROUP BY conv_id),
+s AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM e GROUP BY node),
+n AS (SELECT node, any_value(up) AS up, depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs FROM m GROUP BY node, depth),
+ch AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (node)),
+below AS (SELECT DISTINCT a.node AS top, d.node FROM m a JOIN m d ON a.conv_id = d.conv_id AND a.depth <= d.depth),
+g AS (SELECT top AS node, count_if(n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM below JOIN f USING (node) GROUP BY top)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+  g.n_leaves::BIGINT AS n_leaves, g.saved::BIGINT AS saved_tokens, coalesce(s.ends_sha256, sha256('')) AS ends_sha256
+FROM f JOIN g USING (node) LEFT JOIN s USING (node) LEFT JOIN f p ON p.node = f.up"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_bloom_lm")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.scored(table(spark, sf_dir, "documents"))
