@@ -325,23 +325,37 @@ _LEVELS = "doc_id long, held_out boolean, text string, levels binary"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, score double, a array<long>, b array<long>, n array<long>"
 
 
+class _Probed:
+    """Levels of the n-grams of texts; those of a word are probed once for as long as the vocabulary lasts."""
+
+    def __init__(self, part: Part, order: int):
+        self.part, self.order, self.vocabulary, self._words = part, order, Vocabulary(), np.zeros(0, np.uint8)
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the words, places of the STARTs, and a row of levels for each n."""
+        ids, starts = self.vocabulary.sequence(texts)
+        new = self.vocabulary.a[len(self._words) :]
+        self._words = np.concatenate([self._words, self.part.levels(new)])
+        grams = _grams(self.vocabulary.a[ids], starts, self.order)
+        return ids, starts, np.vstack([self._words[ids], *(self.part.levels(h) for h in grams[1:])])
+
+
 def _with_levels(rows: DataFrame, part: Part, order: int) -> DataFrame:
     """The levels that a part holds, added to those found so far."""
     shared = rows.sparkSession.sparkContext.broadcast(part)  # at most a part
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
+        probed = _Probed(shared.value, order)
         for b in batches:
             for at in range(0, b.num_rows, _AT_ONCE):
                 s = b.slice(at, _AT_ONCE)
-                ids, starts = vocabulary.sequence(s.column(2).to_pylist())
-                found = np.vstack([shared.value.levels(h) for h in _grams(vocabulary.a[ids], starts, order)])
+                ids, starts, found = probed.of(s.column(2).to_pylist())
                 ends = np.append(starts, len(ids))
                 levels = [found[:, i:j].tobytes() for i, j in zip(ends, ends[1:])]  # noqa: B905
                 levels = [x if y is None else (np.frombuffer(x, np.uint8) + np.frombuffer(y, np.uint8)).tobytes() for x, y in zip(levels, s.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), s.column(2), pa.array(levels, pa.binary())], ["doc_id", "held_out", "text", "levels"])
-                if len(vocabulary) >= _MOST_WORDS:
-                    vocabulary = Vocabulary()
+                if len(probed.vocabulary) >= _MOST_WORDS:
+                    probed = _Probed(shared.value, order)
 
     out = stored(rows.mapInArrow(work, _LEVELS), "lm-levels")
     shared.unpersist()
@@ -350,7 +364,7 @@ def _with_levels(rows: DataFrame, part: Part, order: int) -> DataFrame:
 
 def probabilities(levels: np.ndarray, starts: np.ndarray, tokens: int, kinds: int, base: float, mu: float) -> np.ndarray:
     """Probability of each token after its context, from the levels of the n-grams (a row for each n) that end at it."""
-    counts = count_of(levels, base)
+    counts = count_of(np.arange(256), base)[levels]
     p = (counts[0] + 1) / (tokens + kinds + 1)
     before = np.maximum(np.arange(levels.shape[1]) - 1, np.repeat(starts, np.diff(np.append(starts, levels.shape[1]))))
     for n in range(1, len(levels)):
@@ -367,14 +381,13 @@ def _scored(rows: DataFrame, part: Part, model: Model, known: tuple, mu: float)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, known = shared.value
-        vocabulary, exact = Vocabulary(), np.zeros(0, np.int64)
+        probed, exact = _Probed(part, order), np.zeros(0, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, _AT_ONCE):
-                s = b.slice(at, _AT_ONCE)
-                ids, starts = vocabulary.sequence(s.column(2).to_pylist())
+                s, vocabulary = b.slice(at, _AT_ONCE), probed.vocabulary
+                ids, starts, levels = probed.of(s.column(2).to_pylist())
                 if len(exact) < len(vocabulary):
                     exact = np.concatenate([exact, _exact(vocabulary.a[len(exact) :], vocabulary.b[len(exact) :], known)])
-                levels = np.vstack([part.levels(h) for h in _grams(vocabulary.a[ids], starts, order)])
                 ends = np.append(starts, len(ids))
                 for x, y, other in zip(ends, ends[1:], s.column(3).to_pylist()):  # noqa: B905
                     if other is not None:
@@ -398,7 +411,7 @@ def _scored(rows: DataFrame, part: Part, model: Model, known: tuple, mu: float)
                     [x.split()[0] for x in _SCORED.split(", ")],
                 )
                 if len(vocabulary) >= _MOST_WORDS:
-                    vocabulary, exact = Vocabulary(), np.zeros(0, np.int64)
+                    probed, exact = _Probed(part, order), np.zeros(0, np.int64)
 
     out = stored(rows.mapInArrow(work, _SCORED), "lm-scores")
     shared.unpersist()
