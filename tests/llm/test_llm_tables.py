@@ -1,5 +1,8 @@
 """Odd tables for every operator and stage: nulls, empty and long texts, ties, repeated rows, no rows, other columns."""
 
+import random
+import re
+
 import duckdb
 import pytest
 
@@ -72,9 +75,43 @@ def test_near_copies(odd, none):
     got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in golay_dedup.near_groups(odd).collect()}
     assert len({f for _, f in got}) == len({golay_dedup.fingerprint(t) for _, t, _ in ROWS})
     assert {c for (d, _), c in got.items() if d in (2, 3, 4)} == {2} and {c for (d, _), c in got.items() if d in (1, 7)} == {1}
-    stay = golay_dedup.one_of_each(odd)
-    assert stay.columns == odd.columns and sorted(str(r["doc_id"]) for r in stay.collect()) == ["1", "2", "5", "8", "None"]
-    assert golay_dedup.near_groups(none).count() == golay_dedup.one_of_each(none).count() == 0
+    assert golay_dedup.near_groups(none).count() == 0
+
+
+def test_a_fingerprint_without_id_still_links(spark):
+    """Groups by brute force over all pairs of fingerprints; rows without id tie others."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(40):
+        text = rng.choices(words, k=60)
+        for _ in range(rng.randint(1, 5)):
+            text[rng.randrange(60)] = rng.choice(words)
+            rows.append((None if rng.random() < 0.4 else len(rows), " ".join(text), "s"))
+    got = sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in golay_dedup.near_groups(_docs(spark, rows)).collect())
+    prints = [golay_dedup.fingerprint(t) for _, t, _ in rows]
+    top = list(range(len(rows)))
+    for _ in rows:  # the least group number goes round until nothing changes
+        new = [min(top[y] for y in range(len(rows)) if bin(prints[x] ^ prints[y]).count("1") <= 4) for x in range(len(rows))]
+        if new == top:
+            break
+        top = new
+    least = {}
+    for (i, _, _), g in zip(rows, top, strict=True):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    assert got == sorted((str(i), f"{p:016x}", str(least.get(g))) for (i, _, _), p, g in zip(rows, prints, top, strict=True))
+    assert any(i is None and p not in {q for (j, _, _), q in zip(rows, prints, strict=True) if j is not None} for (i, _, _), p in zip(rows, prints, strict=True))
+
+
+def test_mail_edits():
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("a@.-é \n@b") for _ in range(rng.randint(0, 30)))
+        head = text[: text.rfind("\n") + 1] or text
+        want = [(m.start(), m.end(), "[mail]") for m in pattern.finditer(head)] + ([(len(head), len(text), "")] if head != text else [])
+        assert token_counts.mail_edits(text) == want, text
 
 
 def test_passages(spark, odd, none):

@@ -120,24 +120,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     rows = stored(fingerprints(docs, doc_id, text), "golay-rows")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "golay-classes")
     pairs = stored(links(classes, most_bits), "golay-links")
-    of = lambda side: classes.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))
-    edges = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("src"), F.col("rep_b").alias("dst"))
-    groups = components(edges.where("src is not null and dst is not null"))
-    group_of = stored(
-        classes.join(groups, classes["rep"] == groups["id"], "left").select(
-            "fp", F.coalesce("component", "rep").alias("component_id")
-        ),
-        "golay-groups",
-    )
+    groups = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "fp")
+    placed = stored(classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "golay-placed")
+    # groups are made of fingerprints: a fingerprint without any id ties its neighbours all the same
+    least = stored(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "golay-least")
+    group_of = stored(placed.join(least, "component").select("fp", "component_id"), "golay-groups")
     return rows.join(group_of, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of every group the one with the smallest id, one row of an id, and rows without id."""
-    first = (
-        near_groups(docs, doc_id, text).where("component_id = doc_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    )
-    kept = docs.join(first, docs[doc_id] == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))

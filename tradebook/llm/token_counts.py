@@ -198,69 +198,57 @@ def with_edits(docs: DataFrame, state: DataFrame, edits: DataFrame) -> DataFrame
     return docs.select("doc_id", "text").join(state, "doc_id").join(gathered, "doc_id", "left")
 
 
-def mail_edits(text: Column) -> Column:
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+
+def mail_edits(text: str) -> list[tuple[int, int, str]]:
     """Edits that put ``[mail]`` for every e-mail address and delete the last line of a text of several lines.
 
-    Places come from the lengths of the pieces between matches, so each is worked out once.
+    Addresses are looked for around each ``@``, so a text is passed once.
     """
-    pattern = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+"
-    body = F.when(F.instr(text, "\n") > 0, F.substring_index(text, "\n", -1)).otherwise(F.lit(""))
-    head_size = F.length(text) - F.length(body)
-    head = F.substring(text, F.lit(1), head_size)
-    pieces, found = F.split(head, pattern), F.regexp_extract_all(head, F.lit("(" + pattern + ")"), F.lit(1))
-    nothing = F.struct(
-        F.array().cast(EDITS).alias("edits"), F.lit(0).alias("at")
-    )
-    walked = F.aggregate(
-        F.arrays_zip(pieces.alias("p"), found.alias("m")),
-        nothing,
-        lambda a, x: F.struct(
-            F.when(
-                x["m"].isNotNull(),
-                F.concat(
-                    a["edits"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.length(x["p"])).alias("start"),
-                            (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"),
-                            F.lit("[mail]").alias("replacement"),
-                        )
-                    ),
-                ),
-            ).otherwise(a["edits"]).alias("edits"),
-            (a["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-        ),
-        lambda a: a["edits"],
-    )
-    last = F.when(
-        F.length(body) > 0, F.array(F.struct(head_size.alias("start"), F.length(text).alias("end"), F.lit("").alias("replacement")))
-    ).otherwise(F.array().cast(EDITS))
-    return F.concat(walked, last)
+    lines_end = text.rfind("\n") + 1
+    head = lines_end or len(text)
+    edits, done, at = [], 0, text.find("@")
+    while 0 <= at < head:
+        begin = at
+        while begin > done and text[begin - 1] in _LOCAL:
+            begin -= 1
+        domain = _DOMAIN.match(text, at + 1, head) if begin < at else None
+        if domain:
+            edits.append((begin, domain.end(), "[mail]"))
+            done = domain.end()
+        at = text.find("@", max(at + 1, done))
+    return edits + [(lines_end, len(text), "")] if 0 < lines_end < len(text) else edits
+
+
+COUNTED = "doc_id long, tokens_before long, tokens_after long, n_leaves long, n_reencoded long"
 
 
 def counted(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", edits: Column | None = None) -> DataFrame:
     """(doc_id, tokens_before, tokens_after, n_leaves, n_reencoded): counts of whole texts before and after edits.
 
-    ``edits`` is a Column of the array that ``apply_edits`` takes (default ``mail_edits``), so text, tree and edits meet
-    without a join.  Null and empty texts count 0.  Repeated rows give repeated rows, a null id stays null.
+    ``edits`` is a Column of the array that ``apply_edits`` takes (default: what ``mail_edits`` finds).  A text meets its
+    tree and its edits in one pass, without a join.  Null and empty texts count 0.  Repeated rows give repeated rows, a null
+    id stays null.
     """
     path = vocabulary or tokenise.word_bpe_path()
     narrow = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        *([] if edits is None else [edits.cast(EDITS).alias("edits")]),
     )
-    asked = narrow.withColumn("edits", (edits if edits is not None else mail_edits(F.col("text"))).cast(EDITS))
 
-    def build_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
         for b in batches:
-            made = [build(t, count) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), b.column(1), pa.array([m[0] for m in made], pa.list_(pa.int32())),
-                    pa.array([m[1] for m in made], pa.list_(pa.int64())), b.column(2),
-                ],
-                ["doc_id", "text", "leaves", "nodes", "edits"],
-            )
-
-    state = asked.mapInArrow(build_beside, f"doc_id long, text string, leaves array<int>, nodes array<long>, edits {EDITS}")
-    return apply_edits(state, path).select("doc_id", "tokens_before", "tokens_after", "n_leaves", "n_reencoded")
+            rows = []
+            asked = [None] * b.num_rows if edits is None else b.column(2).to_pylist()
+            for t, given in zip(b.column(1).to_pylist(), asked, strict=True):
+                wanted = mail_edits(t) if edits is None else [(e["start"], e["end"], e["replacement"] or "") for e in given or []]
+                lengths, nodes = build(t, count)
+                _, after, changed, n = update(t, lengths, nodes, wanted, count)
+                rows.append((total(nodes), total(changed), len(after), n))
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], [c.split()[0] for c in COUNTED.split(", ")])
+
+    return narrow.mapInArrow(work, COUNTED)

@@ -43,6 +43,22 @@ def _is_small(word: str) -> bool:
     return word.isalpha() and (word.isascii() or word == word.lower() and unicodedata.is_normalized("NFC", word))
 
 
+class Memory(dict):
+    """Two generations: what is asked for again moves to the younger, so words in use stay when the older one goes."""
+
+    old: dict = {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self[key] = self.old[key]
+        return value
+
+    def age(self, most: int) -> None:
+        """Drop the older generation once the younger holds half of ``most``."""
+        if len(self) > most // 2:
+            self.old = dict(self)
+            self.clear()
+
+
 class Words:
     """Ids of chunks as little-endian 32-bit integers, kept in a memory of bounded size."""
 
@@ -61,8 +77,8 @@ class Words:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self._bare: dict[bytes, bytes] = {}  # chunks without the marks at their ends
-        self._chunks: dict[bytes, bytes] = {}
+        self._bare = Memory()  # chunks without the marks at their ends
+        self._chunks = Memory()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,7 +87,7 @@ class Words:
         """Encode new chunks together: the library is far faster on many words in one string."""
         whole = [c for c in new if c.isalpha()]  # A-Z alone
         cut = [(c, *_cut(c)) for c in new.difference(whole)]
-        bare = set(whole).union([b for _, b, _ in cut], [m for _, _, m in cut]).difference(self._bare)
+        bare = set(whole).union([b for _, b, _ in cut], [m for _, _, m in cut]).difference(self._bare, self._bare.old)
         small = [b for b in bare if b.isalpha()]
         rest = [(b, b.decode()) for b in bare.difference(small)]
         small += [b for b, w in rest if _is_small(w)]
@@ -93,13 +109,11 @@ class Words:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is empty."""
-        if len(self._chunks) > MOST_CHUNKS:
-            self._chunks = {}
-        if len(self._bare) > MOST_WORDS:
-            self._bare = {}
+        self._chunks.age(MOST_CHUNKS)
+        self._bare.age(MOST_WORDS)
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         chunks = [None if _SPECIAL in r else r.lower().split() for r in raw]  # A-Z only; the vocabulary is in small letters
-        self._learn(set().union(*[c for c in chunks if c]).difference(self._chunks))
+        self._learn(set().union(*[c for c in chunks if c]).difference(self._chunks, self._chunks.old))
         get = self._chunks.__getitem__
         return [
             self._whole([r.decode()])[0] if c is None else b"".join(map(get, c)) for r, c in zip(raw, chunks, strict=True)
