@@ -52,6 +52,9 @@ class Memory(dict):
         value = self[key] = self.old[key]
         return value
 
+    def lacks(self, keys: Iterable[bytes]) -> set[bytes]:
+        return {k for k in keys if k not in self and k not in self.old}
+
     def age(self, most: int) -> None:
         """Drop the older generation once the younger holds half of ``most``."""
         if len(self) > most // 2:
@@ -87,7 +90,7 @@ class Words:
         """Encode new chunks together: the library is far faster on many words in one string."""
         whole = [c for c in new if c.isalpha()]  # A-Z alone
         cut = [(c, *_cut(c)) for c in new.difference(whole)]
-        bare = set(whole).union([b for _, b, _ in cut], [m for _, _, m in cut]).difference(self._bare, self._bare.old)
+        bare = self._bare.lacks(set(whole).union([b for _, b, _ in cut], [m for _, _, m in cut]))
         small = [b for b in bare if b.isalpha()]
         rest = [(b, b.decode()) for b in bare.difference(small)]
         small += [b for b, w in rest if _is_small(w)]
@@ -113,7 +116,7 @@ class Words:
         self._bare.age(MOST_WORDS)
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         chunks = [None if _SPECIAL in r else r.lower().split() for r in raw]  # A-Z only; the vocabulary is in small letters
-        self._learn(set().union(*[c for c in chunks if c]).difference(self._chunks, self._chunks.old))
+        self._learn(self._chunks.lacks(set().union(*[c for c in chunks if c])))
         get = self._chunks.__getitem__
         return [
             self._whole([r.decode()])[0] if c is None else b"".join(map(get, c)) for r, c in zip(raw, chunks, strict=True)
