@@ -71,6 +71,20 @@ def evidence_rows(values: DataFrame, pages: DataFrame, method: str = "ai_suggest
     )
 
 
+LISTED = ["name_en", "name_ar", "website_url", "phone", "email", "city", "address", "description_en"]
+
+
+def listed_evidence(companies: DataFrame, method: str = "directory_listing", confidence: float = 0.8) -> DataFrame:
+    """Evidence of records read from a listing: each filled field with the page the record stands on."""
+    fields = [F.struct(F.lit(c).alias("field_name"), F.col(c).cast("string").alias("value")) for c in LISTED if c in companies.columns]
+    rows = companies.select(
+        F.col("id").alias("company_id"), F.explode(F.array(*fields)).alias("_f"), "source_url", F.col("page_id").cast("long").alias("source_page_id")
+    )
+    return rows.select(
+        "company_id", "_f.*", "source_url", "source_page_id", F.lit(method).alias("extraction_method"), F.lit(confidence).alias("confidence")
+    ).where(F.trim("value") != "")
+
+
 def extracted_evidence(candidates: DataFrame) -> DataFrame:
     """Evidence of deterministic extraction: empty and zero-confidence values dropped."""
     return candidates.where((F.trim("value") != "") & (F.col("confidence") > 0)).select(

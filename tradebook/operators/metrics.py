@@ -172,7 +172,13 @@ def system_summary(counter_points: DataFrame, gauge_points: DataFrame, parses: D
 
 
 def limited_calls(events: DataFrame, key: str, ts: str, order: str, window_ms: int, most: int) -> DataFrame:
-    """Fixed-window limit anchored at events: the first call opens a window, at most ``most`` calls pass in it.
+    """Fixed-window limit anchored at events: the first call opens a window, at most ``most`` calls pass in it."""
+    placed = windows_of_calls(events, key, ts, order, window_ms)
+    return placed.withColumn("allowed", F.col("position") <= most).drop("window_start")
+
+
+def windows_of_calls(events: DataFrame, key: str, ts: str, order: str, window_ms: int) -> DataFrame:
+    """Adds window_start (milliseconds) and position: the window each call falls in and its number there.
 
     Batch form over whole tables.  The window that follows one opened at t is
     opened by the first call at or after t + window.  Calls are placed on a grid
@@ -202,8 +208,9 @@ def limited_calls(events: DataFrame, key: str, ts: str, order: str, window_ms: i
     cells = opened.select("k", F.col("t").alias("start"), F.explode(F.array(F.floor(F.col("t") / width), F.floor(F.col("t") / width) + 1)).alias("cell"))
     placed = e.withColumns({"k": F.col(key), "cell": F.floor(F.col("_t") / width)}).join(cells, ["k", "cell"])
     inside = placed.where((F.col("start") <= F.col("_t")) & (F.col("_t") < F.col("start") + window_ms))
-    ranked = numbered(inside.select(*events.columns, "k", "start"), [ts, order], ["k", "start"], "position")
-    return ranked.withColumn("allowed", F.col("position") <= most).drop("k", "start")
+    named = inside.select(*events.columns, F.col("k").alias("_k"), "start")
+    ranked = numbered(named, [ts, order], ["_k", "start"], "position")
+    return ranked.select(*events.columns, F.col("start").alias("window_start"), "position")
 
 
 def _next_at_or_after(probes: DataFrame, times: DataFrame) -> DataFrame:

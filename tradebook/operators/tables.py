@@ -160,6 +160,11 @@ def _keyed(df: DataFrame, payload: Sequence[str], fallback_source: Column | None
     return rows.select(*payload, "_name", "_k.kind", "_k.key").where("key <> ''")
 
 
+def identity_rows(df: DataFrame, payload: Sequence[str]) -> DataFrame:
+    """(payload, kind, key): the keys by which a record is matched, website, source and name; empty keys are left out."""
+    return _keyed(df, payload).drop("_name")
+
+
 def identity_key(fallback_source: Column | None = None) -> Column:
     """Key under which records of one batch count as the same: website, else name and source, else source."""
     source = F.col("source_url") if fallback_source is None else first_truthy(F.col("source_url"), fallback_source)
