@@ -11,6 +11,7 @@ from tradebook.operators import tables as tb
 from tradebook.sources import readers as rd
 from tradebook.sources import schemas as sc
 from tradebook.sources import writers as wr
+from tradebook.streaming import limits
 from tradebook.streaming import streams as st
 
 
@@ -99,15 +100,6 @@ def test_a_stored_table_and_a_new_stream_lose_nothing(spark, tmp_path):
     assert os.listdir(folder) == ["v=3"] and wr.latest_version(spark, folder)[1].count() == 4
 
 
-def test_streamed_limit_in_any_order_of_rows(spark, tmp_path):
-    calls = spark.createDataFrame([(1, "k", 50), (2, "k", 0), (3, "k", 10)], "call_id long, k string, s long").withColumn("ts", F.timestamp_seconds("s")).coalesce(1)
-    calls.write.parquet(str(tmp_path / "in"))
-    stream = st.limited_calls(st.file_stream(spark, str(tmp_path / "in"), calls.schema), "k", 20_000, 1)
-    st.run_to_end(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), str(tmp_path / "ck"))
-    got = {r.call_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {2: True, 3: False, 1: True}
-
-
 def test_unfinished_version_is_ignored(spark, tmp_path):
     folder = str(tmp_path / "t")
     wr.write_version(spark.range(3), folder, 0)
@@ -119,9 +111,11 @@ def test_streamed_limit(spark, tmp_path):
     rows = [(i, "k", t) for i, t in enumerate([0, 1, 2, 9, 10, 11, 25, 26])]
     calls = spark.createDataFrame(rows, "call_id long, k string, s long").withColumn("ts", F.timestamp_seconds("s")).coalesce(1)
     calls.write.parquet(str(tmp_path / "in"))
-    stream = st.limited_calls(st.file_stream(spark, str(tmp_path / "in"), calls.schema), "k", 10_000, 2)
-    st.run_to_end(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), str(tmp_path / "ck"))
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("call_id").collect()
+    stream = st.file_stream(spark, str(tmp_path / "in"), calls.schema)
+    step = limits.limit_step(str(tmp_path / "kept"), "k", "call_id", "ts", 10_000, 2, 0)
+    st.run_to_end(stream.writeStream.foreachBatch(step), str(tmp_path / "ck"))
+    limits.finish(spark, str(tmp_path / "kept"), 10_000, 2)
+    got = limits.verdicts(spark, str(tmp_path / "kept")).orderBy("call_id").collect()
     assert [r.allowed for r in got] == [True, True, False, False, True, True, True, True]
 
 

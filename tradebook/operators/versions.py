@@ -23,14 +23,13 @@ def changed_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
         row = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit(""), 256)
         return df.select(*keys, row.alias("_h")).groupBy(*keys).agg(F.array_sort(F.collect_set("_h")).alias("_h"))
 
-    a, b = digest(old), digest(new)
-    on = [a[k].eqNullSafe(b[k]) for k in keys]
-    both = on[0]
-    for c in on[1:]:
-        both = both & c
-    j = a.join(b, both, "full")
-    change = F.when(a["_h"].isNull(), "added").when(b["_h"].isNull(), "gone").when(a["_h"] != b["_h"], "changed")
-    return j.select(*[F.coalesce(b[k], a[k]).alias(k) for k in keys], change.alias("change")).where("change is not null")
+    a = digest(old).select(*[F.col(k).alias(f"_old_{k}") for k in keys], F.col("_h").alias("_was"))
+    both = F.lit(True)
+    for k in keys:
+        both = both & F.col(k).eqNullSafe(F.col(f"_old_{k}"))
+    j = a.join(digest(new), both, "full")
+    change = F.when(F.col("_was").isNull(), "added").when(F.col("_h").isNull(), "gone").when(F.col("_was") != F.col("_h"), "changed")
+    return j.select(*[F.coalesce(k, f"_old_{k}").alias(k) for k in keys], change.alias("change")).where("change is not null")
 
 
 Order = Sequence[tuple[str, bool]]  # (column, descending), the last ones making it total

@@ -160,12 +160,12 @@ def system_summary(spark, sf_dir):
     return mt.system_summary(p, p, _parses(spark, sf_dir)).withColumn("value", F.round("value", 4))
 
 
-@query(
-    "rate_limit",
-    """WITH RECURSIVE e AS (SELECT event_id, user_id % 3 AS k, epoch_ms(ts) AS t, ts FROM events),
+RATE_LIMIT_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id % 3 AS k, epoch_ms(ts) AS t, ts FROM events),
 starts(k, t) AS (SELECT k, min(t) FROM e GROUP BY k UNION ALL SELECT s.k, (SELECT min(e.t) FROM e WHERE e.k = s.k AND e.t >= s.t + 21600000) FROM starts s WHERE EXISTS (SELECT 1 FROM e WHERE e.k = s.k AND e.t >= s.t + 21600000))
-SELECT event_id, row_number() OVER (PARTITION BY e.k, s.t ORDER BY ts, event_id) <= 20 AS allowed FROM e JOIN starts s ON s.k = e.k AND e.t >= s.t AND e.t < s.t + 21600000""",
-)
+SELECT event_id, row_number() OVER (PARTITION BY e.k, s.t ORDER BY ts, event_id) <= 20 AS allowed FROM e JOIN starts s ON s.k = e.k AND e.t >= s.t AND e.t < s.t + 21600000"""
+
+
+@query("rate_limit", RATE_LIMIT_SQL)
 def rate_limit(spark, sf_dir):
     """Calls under a limit of twenty per six hours from the first call on, per caller group."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 3).alias("caller"))

@@ -359,7 +359,7 @@ def category_map(spark, sf_dir):
 
 @query(
     "category_keyword",
-    """WITH dim AS (SELECT DISTINCT p_name AS id FROM part WHERE p_size = 1 UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part),
+    """WITH dim AS (SELECT DISTINCT p_name AS id FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part),
 m AS (SELECT DISTINCT p.p_partkey AS id, d.id AS category_id FROM part p JOIN dim d ON contains(p.p_name, d.id) OR contains(lower(p.p_type), d.id))
 SELECT id, category_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY category_id) AS rank FROM m) WHERE rank <= 3""",
 )
@@ -367,7 +367,7 @@ def category_keyword(spark, sf_dir):
     """Fallback categories: names of the dimension found in the name or the description, three at most."""
     part = table(spark, sf_dir, "part")
     dim = (
-        part.where("p_size = 1").select(F.col("p_name").alias("id"))
+        part.select(F.col("p_name").alias("id"))
         .union(part.select(F.split_part("p_name", F.lit(" "), F.lit(2))))
         .distinct()
         .withColumn("name_en", F.col("id"))
@@ -378,7 +378,7 @@ def category_keyword(spark, sf_dir):
 
 @query(
     "suggested_labels",
-    """WITH dim AS (SELECT DISTINCT lower(p_type) AS id, p_brand AS name_en FROM part WHERE p_size <= 2),
+    """WITH dim AS (SELECT DISTINCT lower(p_type) AS id, p_brand AS name_en FROM part),
 s AS (SELECT p_partkey AS id, unnest([lower(p_type), lower(p_brand), 'nothing']) AS label FROM part),
 i AS (SELECT DISTINCT id FROM dim), n AS (SELECT lower(name_en) AS name, min(id) AS id FROM dim GROUP BY 1)
 SELECT DISTINCT s.id, coalesce(i.id, n.id) AS category_id FROM s LEFT JOIN i ON i.id = label LEFT JOIN n ON n.name = label WHERE coalesce(i.id, n.id) IS NOT NULL""",
@@ -386,7 +386,7 @@ SELECT DISTINCT s.id, coalesce(i.id, n.id) AS category_id FROM s LEFT JOIN i ON
 def suggested_labels(spark, sf_dir):
     """Suggested label lists matched to valid ids by id, else by name."""
     part = table(spark, sf_dir, "part")
-    dim = part.where("p_size <= 2").select(F.lower("p_type").alias("id"), F.col("p_brand").alias("name_en")).distinct()
+    dim = part.select(F.lower("p_type").alias("id"), F.col("p_brand").alias("name_en")).distinct()
     sug = part.select(F.col("p_partkey").alias("id"), F.concat_ws(", ", F.lit("'"), F.col("p_type"), F.col("p_brand"), F.lit("nothing")).alias("answer"))
     # brand names hold no blanks, so the answer can be split at blanks and commas
     return cat.from_labels(sug, dim, "id", "answer").select("id", "category_id").distinct()

@@ -59,19 +59,20 @@ def recent_rows(spark, sf_dir):
 
 # --- writes as tables --------------------------------------------------------------------------------------
 
-_T = "t AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0)"
-_U = "u AS (SELECT c_custkey AS id, upper(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'NEW' END AS segment, c_acctbal + 1 AS balance FROM customer WHERE c_custkey % 5 IN (0, 1))"
+_T = "t AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance FROM customer)"
+_ID = "CASE WHEN c_custkey % 5 IN (0, 1) THEN c_custkey ELSE c_custkey + 1000000000 END AS id"  # some are there, some are new
+_U = f"u AS (SELECT {_ID}, upper(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'NEW' END AS segment, c_acctbal + 1 AS balance FROM customer)"
 
 
 def _target(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").selectExpr(
+    return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS id", "c_name AS name", "c_mktsegment AS segment", "c_acctbal AS balance"
     )
 
 
 def _updates(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_custkey % 5 IN (0, 1)").selectExpr(
-        "c_custkey AS id", "upper(c_name) AS name", "CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'NEW' END AS segment", "c_acctbal + 1 AS balance"
+    return table(spark, sf_dir, "customer").selectExpr(
+        _ID, "upper(c_name) AS name", "CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'NEW' END AS segment", "c_acctbal + 1 AS balance"
     )
 
 
@@ -82,15 +83,16 @@ def upsert(spark, sf_dir):
 
 @query(
     "upsert_composite",
-    """WITH t AS (SELECT l_orderkey AS company_id, l_linenumber AS field_no, l_comment AS value FROM (SELECT l_orderkey, l_linenumber, l_returnflag AS l_comment FROM lineitem) WHERE l_orderkey % 2 = 0),
-u AS (SELECT l_orderkey AS company_id, l_linenumber AS field_no, min(l_linestatus) AS value FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2)
+    """WITH t AS (SELECT l_orderkey AS company_id, l_linenumber AS field_no, l_comment AS value FROM (SELECT l_orderkey, l_linenumber, l_returnflag AS l_comment FROM lineitem)),
+u AS (SELECT l_orderkey AS company_id, l_linenumber + CASE WHEN l_linenumber > 2 THEN 100 ELSE 0 END AS field_no, min(l_linestatus) AS value FROM lineitem GROUP BY 1, 2)
 SELECT * FROM u UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.company_id = t.company_id AND u.field_no = t.field_no)""",
 )
 def upsert_composite(spark, sf_dir):
     """Upsert on a two-column key."""
     li = table(spark, sf_dir, "lineitem")
-    t = li.where("l_orderkey % 2 = 0").selectExpr("l_orderkey AS company_id", "l_linenumber AS field_no", "l_returnflag AS value")
-    u = li.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("company_id"), F.col("l_linenumber").alias("field_no")).agg(
+    t = li.selectExpr("l_orderkey AS company_id", "l_linenumber AS field_no", "l_returnflag AS value")
+    field = F.col("l_linenumber") + F.when(F.col("l_linenumber") > 2, 100).otherwise(0)
+    u = li.groupBy(F.col("l_orderkey").alias("company_id"), field.alias("field_no")).agg(
         F.min("l_linestatus").alias("value")
     )
     return tb.upsert(t, u, ["company_id", "field_no"])
@@ -300,15 +302,15 @@ def remap_array_ids(spark, sf_dir):
 
 @query(
     "restore_ids",
-    """WITH b AS (SELECT p_partkey AS id, p_name || p_size AS name_en FROM part WHERE p_partkey % 3 = 0), s AS (SELECT p_partkey + p_partkey % 2 AS id, upper(p_name || p_size) AS name_en FROM part WHERE p_partkey % 4 <> 0),
+    """WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || p_size ELSE p_name || '-' || p_partkey END AS name_en FROM part), s AS (SELECT p_partkey + p_partkey % 2 AS id, upper(p_name || p_size) AS name_en FROM part),
 n AS (SELECT lower(name_en) AS k, min(id) AS nid FROM s GROUP BY 1)
 SELECT id AS old_id, coalesce(nid, id) AS new_id FROM b LEFT JOIN n ON k = lower(name_en)""",
 )
 def restore_ids(spark, sf_dir):
     """Ids of backup rows after a restore: by name, by id, or their own."""
     p = table(spark, sf_dir, "part")
-    b = p.where("p_partkey % 3 = 0").selectExpr("p_partkey AS id", "p_name || p_size AS name_en")
-    s = p.where("p_partkey % 4 <> 0").selectExpr("p_partkey + p_partkey % 2 AS id", "upper(p_name || p_size) AS name_en")
+    b = p.selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 3 = 0 THEN p_name || p_size ELSE p_name || '-' || p_partkey END AS name_en")
+    s = p.selectExpr("p_partkey + p_partkey % 2 AS id", "upper(p_name || p_size) AS name_en")
     return tb.restore_ids(b, s)
 
 

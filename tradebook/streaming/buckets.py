@@ -76,7 +76,7 @@ def _keys_of(companies: DataFrame) -> DataFrame:
 def _with_companies(ledger: Ledger, content: dict, companies: DataFrame) -> dict:
     n = content["buckets"]
     files, written = write_buckets(ledger, "companies", content["companies"], COMPANY, ["id"], n, companies)
-    keys = _keys_of(companies)
+    keys = ledger.spark.read.schema(KEY).parquet(ledger.write(_keys_of(companies), "keys-of"))
     # a key may name several companies, so its rows are added to those that are there; all of a key lie in one bucket
     by = lambda old, new: old.unionByName(new).distinct()
     key_files, _ = write_buckets(ledger, "keys", content["keys"], KEY, ["kind", "key"], n, keys, by)
@@ -106,9 +106,10 @@ def kept_evidence(spark: SparkSession, folder: str) -> DataFrame:
 def candidates_of(ledger: Ledger, content: dict, records: DataFrame) -> DataFrame:
     """Stored companies that share a key with some record: all rows that matching could look at."""
     n = content["buckets"]
-    keys = tb.identity_rows(records, ["_rid"]).select("kind", "key").distinct()
+    asked = ledger.write(tb.identity_rows(records, ["_rid"]).select("kind", "key").distinct(), "asked")
+    keys = ledger.spark.read.schema("kind string, key string").parquet(asked)
     held = read_buckets(ledger, content["keys"], KEY, touched(keys, ["kind", "key"], n))
-    ids = held.join(keys, ["kind", "key"], "left_semi").select("id").distinct()
+    ids = ledger.spark.read.schema("id string").parquet(ledger.write(held.join(keys, ["kind", "key"], "left_semi").select("id").distinct(), "ids"))
     return read_buckets(ledger, content["companies"], COMPANY, touched(ids, ["id"], n)).join(ids, "id", "left_semi")
 
 
@@ -127,7 +128,7 @@ def discovery_step(folder: str, as_of: Column, buckets: int = BUCKETS) -> Batch:
             return
         content = content or _empty() | {"buckets": buckets}
         records, _ = found_records(html.parse_pages(df.select("page_id", "url", "html")))
-        stored = candidates_of(ledger, content, records)
+        stored = ledger.spark.read.schema(COMPANY).parquet(ledger.write(candidates_of(ledger, content, records), "candidates"))
         # ids go on after the largest one in use, which may be among rows that were not read
         top = df.sparkSession.createDataFrame([(str(content["top"]),)], "id string").select(
             *[F.col("id") if f.name == "id" else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(COMPANY)]
