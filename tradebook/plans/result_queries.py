@@ -445,8 +445,9 @@ def stream_upsert(spark, sf_dir):
     folder = scratch_folder(spark, "stream-upsert")
 
     def change(batch, current):
-        newest = batch.groupBy("domain").agg(F.max("page_id").alias("page_id"), F.max_by("title", "page_id").alias("title"))
-        return newest if current is None else tb.upsert(current, newest, ["domain"])
+        # an older page may come in a later batch, so the stored page takes part
+        rows = batch if current is None else batch.unionByName(current.select(*batch.columns))
+        return rows.groupBy("domain").agg(F.max("page_id").alias("page_id"), F.max_by("title", "page_id").alias("title"))
 
     st.run_to_end(st.upsert_stream(rows, f"{folder}/table", change), f"{folder}/checkpoint")
     return wr.latest_version(spark, f"{folder}/table")[1]
