@@ -77,4 +77,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tradebook-scratch-")
+    # a path without scheme means the cluster's default file system, also to those who open files without Spark
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    root = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
