@@ -180,7 +180,7 @@ def test_passage_places():
 
 
 def _letters(text):
-    return "".join(x for _, _, s in pattern_grammar.clauses(text, tuple(pattern_grammar.INSULTS)) for x in s if x in pattern_grammar.OUTPUTS)
+    return "".join(x for _, _, s, _ in pattern_grammar.clauses(text) for x in s if x in pattern_grammar.OUTPUTS + pattern_grammar.BARE)
 
 
 def test_clauses():
@@ -196,14 +196,37 @@ def test_clauses():
     assert _letters(("word " * 3000 + "idiot ") * 3) == "III"
 
 
+def test_clauses_of_several_parts():
+    assert _letters("The word idiot is old.") == _letters("Das Wort Trottel ist alt.") == "J"
+    assert _letters('He quoted: "You are an idiot. You are scum." You scum.') == "JJV"
+    assert _letters('An odd " mark.\nYou are an idiot.') == "V"
+    assert _letters("Ich bringe dich um.") == "W" and _letters("Er bringt das Paket um zehn.") == ""
+    assert "".join(s for _, _, s, _ in pattern_grammar.clauses("a grumpf, no grumpfer", ("grumpf",))) == "oSoo"
+
+
+def test_single_words_weigh_nothing():
+    prior = np.array([pattern_grammar.PRIOR[c] for c in [*pattern_grammar.OUTPUTS, "run"]])
+    logit = lambda t, families=(): pattern_grammar.matches(t, families)[0] @ prior
+    assert logit("idiot") == logit("Trash here. Trash there, trash.") == logit("") == logit(None) == 0
+    assert logit("you idiot") == logit("an idiot and moron") == 4
+    assert logit("an idiot. " + "word " * 300 + ". a moron") == 0  # not near each other
+    assert 0 < logit("an idiot and moron. " + "word " * 1000) < 1
+    assert logit("you grumpf", ("grumpf",)) == 0 and logit("grumpfa grumpfo", ("grumpf",)) == 4
+
+
+def test_families_of_words():
+    support = {"gru": 100, "grum": 99, "grump": 98, "grumpa": 40, "grumpo": 50, "bla": 30, "blab": 10}
+    assert pattern_grammar._trimmed(support, 9) == ["grump", "bla"]
+    assert pattern_grammar._trimmed(support, 1) == ["grump"] and pattern_grammar._trimmed({}, 9) == []
+
+
 def test_composition_equals_the_parts_in_a_row():
     r = random.Random(4)
-    n = pattern_grammar.machine("oIHTNRQ", 0, pattern_grammar._negation)
-    s = pattern_grammar.machine("oIHihTRQ", (False, False), pattern_grammar._reported)
-    a = pattern_grammar.machine("oIHihJKT", (0, "", 0), pattern_grammar._aimed)
     for _ in range(500):
-        x = "".join(r.choices("oIHTNRQ", k=r.randrange(30)))
-        assert pattern_grammar.grammar().run(x) == a.run(s.run(n.run(x)))
+        x = want = "".join(r.choices(pattern_grammar._LETTERS, k=r.randrange(30)))
+        for part in pattern_grammar.parts():
+            want = part.run(want)
+        assert pattern_grammar.grammar().run(x) == want
 
 
 # --- features ------------------------------------------------------------------------------------------

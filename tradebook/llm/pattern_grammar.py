@@ -1,16 +1,22 @@
 """Weighted finite-state grammar for toxic clauses.
 
-A clause is a string of word classes: insult, threat, target, negation, reported
-speech, quote mark, other.  Three letter transducers read it one after the other,
-as one machine made by composition:
+A clause is a string of word classes: insult, word of an insulting family, threat, target, negation, reported speech,
+quote mark, parts of a separable threat, other.  Four letter transducers read it one after the other, as one machine
+made by composition:
 
+* threat joins a separable verb and its particle at the end of the clause ("bringe ... um"),
 * negation turns an insult or threat within its reach into a negated one,
-* reported speech turns those after a verb of saying or inside quotes into reported ones,
+* reported speech turns those after a verb of saying, after "the word" or inside quotes into reported ones; a quote goes
+  on over the ends of clauses, up to the end of the line,
 * target turns those beside an addressee into aimed ones, on either side.
 
-The output letters have weights, learned from labels with the values below as
-their prior; a document's score is the logistic of the weighted sum over its
-clauses.  Single words score nothing outside a clause that the grammar accepts.
+A document is scored by what these leave: aimed, negated and reported insults and threats by their numbers, and runs of
+insults.  A run is an insult that neither is negated nor reported and follows another, different one in the same clause
+or within ``RUN_REACH`` characters; runs count for each ``RUN_LENGTH`` characters of text.  So a single insult aimed at
+nobody weighs nothing, and neither does one word however often it comes.
+
+Weights are learned from labels, with the values below as their prior.  Also learned are families of insults: beginnings
+of words that stand in toxic texts.  They are weaker evidence than a listed insult, so they count in runs alone.
 """
 
 from __future__ import annotations
@@ -26,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradebook.llm.common import held_out, stored
+from tradebook.llm.common import bounded_sample, held_out, stored
 from tradebook.llm.fm_quality import labelled_sample
 
 SAMPLE = 6_000  # labelled rows the weights are learned from, at most
-LEARNED_WORDS = 200  # insults taken from labelled documents, at most
+FAMILIES = 200  # beginnings of insults taken from labelled documents, at most
 THRESHOLD = 0.3
+RUN_REACH = 1_000  # characters
+RUN_LENGTH = 500  # characters
 
 # fixed values: words of the grammar in the four languages of the corpus
 INSULTS = (
@@ -54,14 +62,22 @@ REPORTS = (
     "said says say called calls quoted quotes claims claimed wrote writes reported reports according alleged accused sagte sagt schrieb "
     "nannte dit déclare écrit appelé dijo dice llamó escribió"
 ).split()
+ARTICLES = "the a this das ein dieses der le ce un la el esta este".split()
+MENTIONS = "word term expression wort begriff ausdruck mot terme palabra término".split()
+SEPARABLE = "bringe bringst bringt bringen schlage schlägst schlägt schlagen mache machst macht machen".split()
+PARTICLES = "um tot kalt".split()
 QUOTES = '"“”„«»'
-CLAUSE_END = ".!?;\n"
+_END = re.compile(r"[.!?;\n]")
+_QUOTE = re.compile(f"[{QUOTES}]")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[\"“”„«»]")
 
-# letters: o other, I insult, H threat, T target, N negation, R report, Q quote
-# outputs: V aimed insult, U target after an insult, i negated insult, J reported insult, W aimed threat, h negated threat, K reported threat
-OUTPUTS = "IVUiJHWhK"
-PRIOR = {"I": 3.0, "V": 4.0, "U": 1.0, "i": 1.0, "J": 1.0, "H": 0.2, "W": 4.0, "h": 0.0, "K": 0.3}
+# letters: o other, I insult, S word of an insulting family, H threat, P separable verb, E particle at the end, T target,
+# N negation, R report, Q quote, A article, M a name for words
+# outputs: V aimed insult, U target after an insult, i negated insult, J reported insult, W aimed threat, h negated threat, K reported threat,
+# I and S bare insults, H bare threat
+OUTPUTS = "VUiJHWhK"
+BARE = "IVS"  # what runs are made of
+PRIOR = {"V": 4.0, "U": 4.0, "i": 0.3, "J": 0.3, "H": 0.2, "W": 4.0, "h": 0.0, "K": 0.3, "run": 4.0}
 PRIOR_BIAS = -4.0
 
 
@@ -104,27 +120,32 @@ def compose(a: Transducer, b: Transducer, letters: str) -> Transducer:
     return machine(letters, (0, 0), step)
 
 
-NEGATION_REACH, TARGET_REACH = 3, 4
-_LETTERS = "oIHTNRQ"
+NEGATION_REACH, TARGET_REACH, MENTION_REACH = 3, 4, 2
+_LETTERS = "oISHPETNRQAM"
+
+
+def _threat(waiting: bool, x: str):
+    if x == "P":
+        return True, "o"
+    if x == "E":
+        return False, "H" if waiting else "o"
+    return waiting, x
 
 
 def _negation(left: int, x: str):
     if x == "N":
         return NEGATION_REACH, "o"
-    if left and x in "IH":
-        return left - 1, x.lower()
+    if left and x in "ISH":
+        return left - 1, {"I": "i", "S": "o", "H": "h"}[x]
     return max(left - 1, 0), x
 
 
-def _reported(inside: tuple[bool, bool], x: str):
-    said, quoted = inside
-    if x == "R":
-        return (True, quoted), "o"
-    if x == "Q":
-        return (said, not quoted), "o"
-    if (said or quoted) and x in "IH":
-        return inside, {"I": "J", "H": "K"}[x]
-    return inside, x
+def _reported(state: tuple[bool, bool, bool, int], x: str):
+    said, quoted, article, left = state  # a verb of saying or quote mark was read; an article just now; words still mentioned
+    if x in "RQAM":
+        return (said or x == "R", quoted != (x == "Q"), x == "A", MENTION_REACH if x == "M" and article else left), "o"
+    told = (said or quoted or left) and x in "ISH"
+    return (said, quoted, False, max(left - 1, 0)), {"I": "J", "S": "o", "H": "K"}[x] if told else x
 
 
 def _aimed(state: tuple[int, str, int], x: str):
@@ -138,132 +159,181 @@ def _aimed(state: tuple[int, str, int], x: str):
     return (seen, waiting if left else "", left), x
 
 
+def parts() -> list[Transducer]:
+    """The transducers in the order in which they read."""
+    return [
+        machine(_LETTERS, False, _threat),
+        machine("oISHTNRQAM", 0, _negation),
+        machine("oISHihTRQAM", (False, False, False, 0), _reported),
+        machine("oISHihJKT", (0, "", 0), _aimed),
+    ]
+
+
 @lru_cache(1)
 def grammar() -> Transducer:
-    negation = machine(_LETTERS, 0, _negation)
-    reported = machine("oIHihTRQ", (False, False), _reported)
-    aimed = machine("oIHihJKT", (0, "", 0), _aimed)
-    return compose(compose(negation, reported, _LETTERS), aimed, _LETTERS)
+    whole, *others = parts()
+    for t in others:
+        whole = compose(whole, t, _LETTERS)
+    return whole
 
 
 # --- one document ----------------------------------------------------------------------------------------
 
 
 @lru_cache(4)
-def _compiled(insults: tuple[str, ...]) -> tuple[ahocorasick.Automaton, dict[str, str]]:
+def _compiled(families: tuple[str, ...]) -> tuple[ahocorasick.Automaton, dict[str, str]]:
+    """What to look for, with its length and whether a word may go on after it; and the letters of whole words."""
     letter = {}
-    for words, x in ((REPORTS, "R"), (TARGETS, "T"), (NEGATIONS, "N"), (THREATS, "H"), (insults, "I")):
+    for words, x in ((ARTICLES, "A"), (MENTIONS, "M"), (REPORTS, "R"), (TARGETS, "T"), (NEGATIONS, "N"), (SEPARABLE, "P"), (THREATS, "H"), (INSULTS, "I")):
         letter.update(dict.fromkeys(words, x))
     letter.update(dict.fromkeys(QUOTES, "Q"))
+    found = {w: (len(w), False) for w, x in letter.items() if x in "IHP"} | {w: (len(w), True) for w in families}
     finder = ahocorasick.Automaton()
-    for w, x in letter.items():
-        if x in "IH":
-            finder.add_word(w, len(w))
+    for w, how in found.items():
+        finder.add_word(w, how)
     finder.make_automaton()
     return finder, letter
 
 
-def clauses(text: str, insults: tuple[str, ...]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, output letters) of the clauses that hold an insult or a threat; the others match nothing."""
-    finder, letter = _compiled(insults)
+def clauses(text: str, families: tuple[str, ...] = ()) -> Iterator[tuple[int, int, str, set[str]]]:
+    """(start, end, output letters, insults) of the clauses that hold an insult or a threat; the others match nothing.
+
+    ``insults`` are the words that stand for one of ``BARE``.
+    """
+    finder, letter = _compiled(families)
     low = text.lower()
-    if len(low) != len(text):  # rare letters grow when made small; places are then those of the small text
-        text = low
-    done = 0
-    for last, size in finder.iter(low):
+    done, begin, end, read, quoted = 0, 0, -1, 0, False
+    ends: Iterator[re.Match] = _END.finditer(low)
+    for last, (size, open_end) in finder.iter(low):
         at = last + 1 - size
-        if at < done or (at and low[at - 1].isalnum()) or (last + 1 < len(low) and low[last + 1].isalnum()):
+        if at < done or (at and low[at - 1].isalnum()) or (not open_end and last + 1 < len(low) and low[last + 1].isalnum()):
             continue
-        begin = max(done, *(low.rfind(c, done, at) + 1 for c in CLAUSE_END))
-        end = min((e for c in CLAUSE_END if (e := low.find(c, last + 1, last + 4096)) >= 0), default=-1)
-        if end < 0:
-            end = min((e for c in CLAUSE_END if (e := low.find(c, last + 1)) >= 0), default=len(low))
-        yield begin, end, grammar().run("".join(letter.get(w, "o") for w in _TOKEN.findall(low, begin, end)))
+        while end <= last:  # ends of clauses are walked once
+            begin, end = end + 1, next((m.start() for m in ends), len(low))
+            if begin and low[begin - 1] == "\n":
+                quoted, read = False, begin
+        line = low.rfind("\n", read, begin)
+        if line >= 0:
+            quoted, read = False, line + 1
+        quoted ^= len(_QUOTE.findall(low, read, begin)) % 2 == 1
+        read = begin
+        tokens = _TOKEN.findall(low, begin, end)
+        letters = [letter.get(w) or ("S" if families and w.startswith(families) else "o") for w in tokens]
+        if tokens and tokens[-1] in PARTICLES:
+            letters[-1] = "E"
+        out = grammar().run("Q" * quoted + "".join(letters))[int(quoted) :]
+        yield begin, end, out, {w for w, x in zip(tokens, out, strict=True) if x in BARE}
         done = end
 
 
-def matches(text: str | None, insults: tuple[str, ...]) -> np.ndarray:
-    """How often each output letter occurs."""
-    out = np.zeros(len(OUTPUTS))
-    for _, _, letters in clauses(text or "", insults):
-        out += [letters.count(x) for x in OUTPUTS]
-    return out
+def matches(text: str | None, families: tuple[str, ...] = ()) -> tuple[np.ndarray, int]:
+    """``log2(1 + n)`` of how often each output letter occurs and of the runs for each ``RUN_LENGTH`` characters; the number of clauses."""
+    text = text or ""
+    out, runs, words, before, n = np.zeros(len(OUTPUTS) + 1), 0, set(), None, 0
+    for n, (begin, end, letters, insults) in enumerate(clauses(text, families), 1):  # noqa: B007
+        out[:-1] += [letters.count(x) for x in OUTPUTS]
+        bare = sum(letters.count(x) for x in BARE)
+        if bare:
+            runs += bare - 1 + (before is not None and begin - before <= RUN_REACH)
+            words |= insults
+            before = end
+    if len(words) > 1:
+        out[-1] = runs * RUN_LENGTH / max(len(text), RUN_LENGTH)
+    return np.log2(1 + out), n
 
 
 # --- learning --------------------------------------------------------------------------------------------
 
 
-def learned_insults(sample: DataFrame, least: int = 20, ratio: float = 100.0, most: int = LEARNED_WORDS) -> list[str]:
-    """Words that stand in toxic documents alone, or ``ratio`` times as often, in ``least`` different surroundings or more.
+def learned_families(sample: DataFrame, least: int = 20, ratio: float = 10.0, most: int = FAMILIES, longest: int = 10) -> list[str]:
+    """Beginnings of words not listed, of three letters or more, that stand ``ratio`` times as often in toxic texts as in others.
 
     A word counts once for each pair of neighbours, so that copies of one text don't make its rare words look like
-    insults.
+    insults, and it takes ``least`` of them.  A beginning is as short as the ratio allows, and then as long as nearly all
+    of its words go on alike.
     """
     words = F.split(F.regexp_replace(F.lower("text"), "[^\\p{L}]+", " "), " ")
     around = sample.select("y", words.alias("w")).select(
         "y", F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.xxhash64(F.get("w", i - 1), F.get("w", i + 1)).alias("by"))))
-    ).select("y", "col.word", "col.by").where(F.length("word") > 2)
-    counts = around.groupBy("y", "word", "by").agg(F.lit(1).alias("_")).groupBy("word").agg(
-        F.sum((F.col("y") == 1).cast("int")).alias("bad"), F.sum((F.col("y") == 0).cast("int")).alias("good")
+    ).select("y", "col.word", "col.by").where((F.length("word") > 2) & ~F.col("word").isin(INSULTS))
+    each = around.groupBy("y", "word", "by").agg(F.lit(1).alias("_")).groupBy("word").agg(
+        F.sum((F.col("y") == 1).cast("long")).alias("bad"), F.sum((F.col("y") == 0).cast("long")).alias("good")
     )
-    sizes = sample.agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).first()
+    each = stored(each, "toxic-words")
+    sizes = each.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     bad, good = max(sizes["bad"] or 0, 1), max(sizes["good"] or 0, 1)
+    cut = F.explode(F.transform(F.sequence(F.lit(3), F.least(F.lit(longest), F.length("word"))), lambda n: F.substring("word", F.lit(1), n)))
+    counts = each.select(cut.alias("start"), "bad", "good").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = (F.col("bad") / F.lit(float(bad))) / ((F.col("good") + 0.5) / F.lit(float(good)))
-    best = counts.where((F.col("bad") >= least) & (odds >= ratio)).orderBy(F.desc("bad"), "word").limit(most)
-    return [r["word"] for r in best.collect()]
+    rows = counts.where((F.col("bad") >= least) & (odds >= ratio)).orderBy(F.desc("bad"), "start").limit(most * (longest - 2)).collect()
+    return _trimmed({r["start"]: r["bad"] for r in rows}, most)
+
+
+def _trimmed(support: dict[str, int], most: int, nearly: float = 0.95) -> list[str]:
+    """The shortest of the beginnings, each as long as ``nearly`` all of its support goes on alike."""
+    out = []
+    for w in sorted(support, key=lambda w: (len(w), -support[w], w)):
+        if not any(w.startswith(x) for x, _ in out):
+            out.append((w, w))
+    grown = []
+    for w, _ in out:
+        now = w
+        while (longer := [x for x in support if len(x) == len(now) + 1 and x.startswith(now) and support[x] >= nearly * support[w]]):
+            now = max(longer, key=lambda x: (support[x], x))
+        grown.append(now)
+    return sorted(grown, key=lambda w: (-support[w], w))[:most]
 
 
 def fit(x: np.ndarray, y: np.ndarray, held: float = 2e-3, rounds: int = 400) -> np.ndarray:
-    """Weights of the output letters and a bias, by logistic regression drawn to the prior."""
-    prior = np.array([PRIOR[c] for c in OUTPUTS] + [PRIOR_BIAS])
-    z = np.concatenate([np.minimum(x, 3), np.ones((len(x), 1))], axis=1)
+    """Weights of what ``matches`` gives and a bias, by logistic regression drawn to the prior."""
+    prior = np.array([PRIOR[c] for c in [*OUTPUTS, "run"]] + [PRIOR_BIAS])
+    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = prior.copy()
     if not len(y):
         return w
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         w -= 0.5 * (z.T @ (p - y) / len(y) + held * (w - prior))
-    w[: len(OUTPUTS)] = np.maximum(w[: len(OUTPUTS)], 0)
+    w[:-1] = np.maximum(w[:-1], 0)
     return w
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, **names: str) -> tuple[tuple[str, ...], np.ndarray]:
-    """(insults, weights) from at most ``most`` labelled rows that aren't held out."""
-    sample = stored(labelled_sample(docs, labels, "toxic", most, **names), "toxic-sample")
-    insults = tuple(dict.fromkeys([*INSULTS, *learned_insults(sample)]))
+    """(families, weights) from at most ``most`` labelled rows that aren't held out.
+
+    An id that several documents have may bring more rows than that; twice as many texts at most are kept, by their hash.
+    """
+    told = labelled_sample(docs, labels, "toxic", most, **names).distinct()
+    sample = stored(bounded_sample(told, "text", 2 * most), "toxic-sample")
+    families = tuple(learned_families(sample))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [matches(t, insults).tolist() for t in b.column(1).to_pylist()]
+            x = [matches(t, families)[0].tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = sample.mapInArrow(work, "y int, x array<double>").toPandas()
-    x = np.array([list(v) for v in rows["x"]]).reshape(-1, len(OUTPUTS))
+    rows = sample.mapInArrow(work, "y int, x array<double>").toPandas()  # 2 * most small rows at most
+    x = np.array([list(v) for v in rows["x"]]).reshape(-1, len(OUTPUTS) + 1)
     order = np.lexsort((*x.T, rows["y"].to_numpy()))
-    return insults, fit(x[order], rows["y"].to_numpy(np.float64)[order])
+    return families, fit(x[order], rows["y"].to_numpy(np.float64)[order])
 
 
 def score(
     docs: DataFrame, model: tuple[tuple[str, ...], np.ndarray], doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted, clauses), a row per row of ``docs``; ``clauses`` counts the matched ones.
+    """(doc_id, held_out, score, predicted, clauses), a row per row of ``docs``; ``clauses`` counts those with an insult or a threat.
 
     Null and empty texts match nothing and have the score of the bias alone.  Repeated rows give equal rows, a null id
     stays null.  Every clause of the whole text is read.
     """
-    insults, weights = model
+    families, weights = model
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores, found = [], []
-            for t in b.column(1).to_pylist():
-                x, n = np.zeros(len(OUTPUTS)), 0
-                for _, _, letters in clauses(t or "", insults):
-                    x += [letters.count(c) for c in OUTPUTS]
-                    n += any(c in letters for c in OUTPUTS)
-                logit = np.minimum(x, 3) @ weights[:-1] + weights[-1]
-                scores.append(float(1 / (1 + np.exp(-np.clip(logit, -30, 30)))))
-                found.append(n)
+            read = [matches(t, families) for t in b.column(1).to_pylist()]
+            x = np.array([r[0] for r in read]).reshape(-1, len(OUTPUTS) + 1)
+            scores = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+            found = [r[1] for r in read]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(found, pa.int64())], ["doc_id", "score", "clauses"])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
