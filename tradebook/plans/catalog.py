@@ -3,6 +3,7 @@
 from tradebook.plans import (  # noqa: F401
     crawl_queries,
     dedupe_queries,
+    file_queries,
     kept_queries,
     metric_queries,
     page_queries,
