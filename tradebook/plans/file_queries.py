@@ -1,4 +1,4 @@
-"""Queries over large files that are read in pieces, script state of pages and functions called by name from SQL."""
+"""Queries over large files that are read in pieces, script state of pages, functions called by name from SQL and percentiles of a stream."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradebook.operators import scripts
+from tradebook.operators import tables as tb
 from tradebook.plans.page_queries import _PER_PAGE
 from tradebook.plans.registry import query, table
 from tradebook.session import scratch_folder
 from tradebook.sources import large_files
 from tradebook.sources import writers as wr
+from tradebook.streaming import sketches
+from tradebook.streaming import streams as st
 
 _DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
@@ -66,3 +69,36 @@ def slugify_sql(spark, sf_dir):
     """Slugs by the function that SQL calls by its name."""
     scripts.register(spark)
     return spark.sql("SELECT p_partkey, slugify(concat(' ', p_name, ' & شركة ', p_type, '!')) AS slug FROM {part}", part=table(spark, sf_dir, "part"))
+
+
+def _below(value, bound):
+    return F.count_if(value < bound)
+
+
+def _upto(value, bound):
+    return F.count_if(value <= bound)
+
+
+@query(
+    "stream_percentiles",
+    """SELECT event_type AS metric, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, true AS p50_near, true AS p90_near, true AS p99_near
+FROM events WHERE value IS NOT NULL GROUP BY 1""",
+)
+def stream_percentiles(spark, sf_dir):
+    """Percentiles of an event stream by sketches of its hours, merged: each within a hundredth of its rank among all values."""
+    events = table(spark, sf_dir, "events")
+    points = st.file_stream(spark, sf_dir, events.schema, names="events.parquet").select(
+        F.col("event_type").alias("metric"), "value", F.col("ts").cast("timestamp").alias("ts"), F.lit("{}").alias("tags_key")
+    )
+    folder = scratch_folder(spark, "stream-percentiles")
+    key = ["window_start", "metric", "tags_key"]
+    change = lambda batch, current: batch if current is None else tb.upsert(current, batch, key)
+    st.run_to_end(sketches.windowed_sketches(points).writeStream.outputMode("update").foreachBatch(st.keep_versions(f"{folder}/table", change)), f"{folder}/checkpoint")
+    found = sketches.merged(wr.latest_version(spark, f"{folder}/table")[1], ["metric"])
+    values = events.select(F.col("event_type").alias("metric"), F.col("value").cast("double").alias("value"))
+    ranks = values.join(F.broadcast(found), "metric").groupBy("metric").agg(  # a row a kind of event
+        *[F.any_value(c).alias(c) for c in ("n", "mean", "min", "max")],
+        *[f(F.col("value"), F.col(p)).alias(f"{p}_{k}") for p in ("p50", "p90", "p99") for k, f in (("below", _below), ("upto", _upto))],
+    )
+    near = lambda p, q: ((F.col(f"{p}_below") <= (q + 0.01) * F.col("n")) & (F.col(f"{p}_upto") >= (q - 0.01) * F.col("n"))).alias(f"{p}_near")
+    return ranks.select("metric", "n", F.round("mean", 6).alias("mean"), "min", "max", near("p50", 0.5), near("p90", 0.9), near("p99", 0.99))
