@@ -10,6 +10,7 @@ from tradebook.plans import (  # noqa: F401
     record_queries,
     result_queries,
     sites,
+    state_queries,
     table_queries,
     texts,
 )
