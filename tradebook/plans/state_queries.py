@@ -12,7 +12,10 @@ from tradebook.session import scratch_folder
 from tradebook.sources import readers as rd
 from tradebook.sources import writers as wr
 
-_AS_OF = F.lit("1996-01-01 00:00:00").cast("timestamp")
+
+def _as_of():
+    return F.lit("1996-01-01 00:00:00").cast("timestamp")
+
 
 _JOBS_SQL = """jobs AS (
   SELECT o_orderkey AS id, o_orderpriority AS queue_name, (o_custkey % 10)::INT AS priority, (o_orderkey % 6)::INT AS attempts, o_orderdate AS scheduled_at,
@@ -34,7 +37,7 @@ def _jobs(spark, sf_dir):
 )
 def jobs_claimed(spark, sf_dir):
     """The hundred due jobs that workers take next; the limit is the feature."""
-    return crawl.claim_order(_jobs(spark, sf_dir), _AS_OF, 100).select("id", "queue_name", "priority")
+    return crawl.claim_order(_jobs(spark, sf_dir), _as_of(), 100).select("id", "queue_name", "priority")
 
 
 @query(
@@ -46,8 +49,8 @@ SELECT id, queue_name, CASE WHEN back THEN 'pending' ELSE status END AS status,
 def jobs_reset(spark, sf_dir):
     """The whole job table after the failed jobs of one queue are set back to pending."""
     jobs = _jobs(spark, sf_dir)
-    after = tb.upsert(jobs, crawl.reset_failed(jobs, "1-URGENT", _AS_OF).select(*jobs.columns), ["id"])
-    return after.select("id", "queue_name", "status", "attempts", (F.col("scheduled_at") == _AS_OF).alias("due_now"))
+    after = tb.upsert(jobs, crawl.reset_failed(jobs, "1-URGENT", _as_of()).select(*jobs.columns), ["id"])
+    return after.select("id", "queue_name", "status", "attempts", (F.col("scheduled_at") == _as_of()).alias("due_now"))
 
 
 @query("fetch_waits", f"WITH {_JOBS_SQL} SELECT id, attempts, least(1000 * pow(2, attempts), 20000)::BIGINT AS wait_ms FROM jobs")
@@ -69,7 +72,7 @@ def seeds_moved(spark, sf_dir):
     seeds = s.select(url, F.lit("pending").alias("status"), F.lit(None).cast("timestamp").alias("processed_at"), F.lit(0).alias("companies_found"))
     state = F.when(F.col("s_acctbal") > 5000, "completed").when(F.col("s_acctbal") > 2000, "failed").otherwise("processing")
     moves = s.where("s_acctbal > 0").select(url, state.alias("status"), F.col("s_nationkey").cast("int").alias("companies_found"))
-    moved = crawl.move_seeds(seeds, moves, _AS_OF)
+    moved = crawl.move_seeds(seeds, moves, _as_of())
     return moved.select("canonical_url", "status", "companies_found", F.col("processed_at").isNotNull().alias("processed"))
 
 
@@ -95,7 +98,7 @@ def json_written(spark, sf_dir):
 @query("payload_total", "SELECT count(*) AS total, '/api/companies' AS endpoint FROM customer")
 def payload_total(spark, sf_dir):
     """The head of the nested export over all customers."""
-    return wr.payload_header(table(spark, sf_dir, "customer"), _AS_OF).select("total", "endpoint")
+    return wr.payload_header(table(spark, sf_dir, "customer"), _as_of()).select("total", "endpoint")
 
 
 @query(
