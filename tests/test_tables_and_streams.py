@@ -163,3 +163,14 @@ def test_join_of_a_hot_key_is_divided(spark, job):
     finally:
         for k, x in old.items():
             spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+def test_stream_of_a_table_in_one_file_or_many(spark, tmp_path):
+    df = spark.range(6).withColumn("v", F.concat(F.lit("v"), F.col("id")))
+    df.repartition(3).write.parquet(str(tmp_path / "many" / "t.parquet"))
+    df.repartition(2).write.parquet(str(tmp_path / "many" / "u.parquet"))
+    df.toPandas().to_parquet(tmp_path / "t.parquet")
+    for n, folder in enumerate((tmp_path, tmp_path / "many")):
+        stream = st.file_stream(spark, str(folder), df.schema, names="t.parquet")
+        st.run_to_end(st.upsert_stream(stream, str(tmp_path / f"kept{n}"), lambda b, cur: b), str(tmp_path / f"ck{n}"))
+        assert sorted(tuple(r) for r in wr.latest_version(spark, str(tmp_path / f"kept{n}"))[1].collect()) == [(i, f"v{i}") for i in range(6)]

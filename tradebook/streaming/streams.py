@@ -22,13 +22,16 @@ Batch = Callable[[DataFrame, int], None]
 def file_stream(
     spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int | None = None, names: str | None = None
 ) -> DataFrame:
-    """Parquet files of a folder as they arrive; ``names`` is a pattern their names must fit."""
+    """Parquet files of a folder as they arrive.
+
+    ``names`` is a pattern of names in the folder: files that fit it, and all files of the folders that fit it.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if names:
-        reader = reader.option("pathGlobFilter", names)
-    return reader.parquet(folder)
+    if names and not any(c in names for c in "*?[{"):
+        names = f"[{names[0]}]{names[1:]}"  # Spark lists a stream's single file only by a pattern
+    return reader.parquet(f"{folder}/{names}" if names else folder)
 
 
 def run_to_end(writer, checkpoint: str) -> StreamingQuery:
