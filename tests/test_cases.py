@@ -253,3 +253,10 @@ def test_queue_size_and_rate_limit(spark, rows):
     out = mt.limited_calls(c, "k", "ts", "id", 10_000, 2).orderBy("id").select("allowed").collect()
     # windows open at 0, 10 and 25
     assert [r[0] for r in out] == [True, True, False, False, True, True, True, True]
+
+
+def test_next_calls_are_found_in_one_pass(spark):
+    times = spark.createDataFrame([(k, t) for k in "ab" for t in (0, 4, 9, 20)], "k string, t long")
+    out = mt._next_at_or_after(times.select("k", (F.col("t") + 5).alias("at"), F.col("t").alias("from")), times)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()  # such a frame is read anew for every row
+    assert {tuple(r) for r in out.collect()} == {(k, t, n) for k in "ab" for t, n in ((0, 9), (4, 9), (9, 20), (20, None))}

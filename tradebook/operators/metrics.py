@@ -227,14 +227,15 @@ def _next_at_or_after(probes: DataFrame, times: DataFrame) -> DataFrame:
     placed = checkpointed(
         both.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_at", 33))
-    ahead = Window.partitionBy("_part", "k").orderBy("_at").rowsBetween(0, Window.unboundedFollowing)
+    # from the last row back: a frame that ends at the row grows, one that begins there is read anew for every row
+    ahead = Window.partitionBy("_part", "k").orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, 0)
     time = F.when(F.col("is_time") == 1, F.col("t"))
-    local = placed.withColumn("_n", F.first(time, ignorenulls=True).over(ahead))
+    local = placed.withColumn("_n", F.last(time, ignorenulls=True).over(ahead))
     # first time of each key in each partition: one row per key and partition
     heads = placed.where("is_time = 1").groupBy("k", "_part").agg(F.min("t").alias("_head"))
-    later = Window.partitionBy("k").orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("k").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     spans = placed.select("k", "_part").distinct().join(heads, ["k", "_part"], "left")
-    carry = spans.withColumn("_carry", F.first("_head", ignorenulls=True).over(later)).select("k", "_part", "_carry")
+    carry = spans.withColumn("_carry", F.last("_head", ignorenulls=True).over(later)).select("k", "_part", "_carry")
     return (
         local.where("is_time = 0").join(carry, ["k", "_part"], "left")
         .select("k", F.col("from"), F.coalesce("_n", "_carry").alias("nxt"))
