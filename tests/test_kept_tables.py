@@ -134,3 +134,12 @@ def test_every_row_once_by_cursor(spark, descending):
             break
     whole = [r["id"] for r in versions.page_after(df, order, 1000).collect()]
     assert seen == whole and sorted(seen) == list(range(53))
+
+
+def test_search_text_is_made_once(spark):
+    raw = spark.createDataFrame([(1, "  Café &  Söhne, شركة.٣ a_b "), (2, None)], "id long, name_en string")
+    index = se.index_rows(raw, F.lit("2024-01-01").cast("timestamp"))
+    assert [r[0] for r in index.orderBy("id").select("searchable_text").collect()] == ["caf s hne شركة ٣ a_b", ""]
+    found = se.search(index, "caf hne a_b")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1  # not again for every term
+    assert [r.id for r in found.collect()] == [1]
