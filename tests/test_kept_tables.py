@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradebook.operators import metrics as mt
 from tradebook.operators import pieces, versions
 from tradebook.operators import search as se
+from tradebook.operators.keys import perhaps_in
 from tradebook.sources.ledger import Ledger
 from tradebook.streaming import buckets, limits, segments
 
@@ -136,6 +137,19 @@ def test_every_row_once_by_cursor(spark, descending):
     assert seen == whole and sorted(seen) == list(range(53))
 
 
+def test_bulk_search_moves_only_what_is_asked(spark):
+    rows = spark.createDataFrame([(i, w) for i in range(200) for w in "abcdefgh"], "id long, term string")
+    asked = spark.createDataFrame([(7, "c"), (9, "h")], rows.schema)
+    got = {tuple(r) for r in perhaps_in(rows, asked, ["id", "term"]).collect()}
+    assert {(7, "c"), (9, "h")} <= got and len(got) < 10
+    assert perhaps_in(rows, asked.limit(0), ["id", "term"]).count() == 0
+    index = spark.createDataFrame([(1, "red  iron nail"), (1, "old nut"), (2, "red nut")], "id long, searchable_text string")
+    q = spark.createDataFrame([("x", "Red nail"), ("y", "red old"), ("z", "gold nut"), ("e", " ")], "query_id string, query string")
+    found = se.search_many(q, index)
+    assert "words" not in found._jdf.queryExecution().optimizedPlan().output().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("x", 1), ("y", 1)]  # rows of one id count as one
+
+
 def test_search_text_is_made_once(spark):
     raw = spark.createDataFrame([(1, "  Café &  Söhne, شركة.٣ a_b "), (2, None)], "id long, name_en string")
     index = se.index_rows(raw, F.lit("2024-01-01").cast("timestamp"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tradebook.session import checkpointed
 
 ColumnOrName = Column | str
 
+_BITS = 27  # of the map of ``perhaps_in``; too small a map costs work, never a row
+
 
 def _cols(names: Sequence[ColumnOrName]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
@@ -110,3 +114,26 @@ def chunked(df: DataFrame, order: Sequence[ColumnOrName], size: int, group: Sequ
             "pos": ((F.col("_rn") - 1) % size + 1).cast("long"),
         }
     ).drop("_rn")
+
+
+def perhaps_in(df: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` whose ``by`` columns, all of ``other``'s types, stand in ``other``, and a few more by chance.
+
+    Before a join of a large table with the few rows of it that are asked for: a map of bits goes to every task, so what
+    is not asked for is never moved.
+    """
+    bit = F.pmod(F.xxhash64(*by), F.lit(1 << _BITS)).alias("_bit")
+    bits = np.zeros(1 << (_BITS - 3), np.uint8)
+    pieces = other.select(bit).groupBy(F.expr("_bit div 32768").alias("piece"))
+    for r in pieces.agg(F.expr("bitmap_construct_agg(_bit % 32768)").alias("bits")).toLocalIterator():
+        bits[r["piece"] << 12 : (r["piece"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            there = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+            if there.any():
+                yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(there))
+
+    return df.select("*", bit).mapInArrow(work, df.schema)

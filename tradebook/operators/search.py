@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradebook.functions.semantics import blank_to_null
+from tradebook.operators.keys import perhaps_in
 from tradebook.operators.tables import delete_rows, upsert
-from tradebook.session import checkpointed
+from tradebook.session import written
 from tradebook.sources.schemas import with_missing
 
 _TEXTS = ["name_en", "name_ar", "business_type", "description_en", "description_ar", "city"]
@@ -68,33 +69,38 @@ def search(index: DataFrame, text: str, limit: int = 20, offset: int = 0) -> Dat
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
+def _words(text: str) -> Column:
+    return F.array_distinct(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""))
+
+
 def postings(index: DataFrame, key: str = "id", text: str = "searchable_text") -> DataFrame:
     """(term, key): distinct words of every row."""
-    words = F.array_distinct(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""))
-    return index.select(key, F.explode(words).alias("term"))
+    return index.select(key, F.explode(_words(text)).alias("term"))
 
 
 def search_many(queries: DataFrame, index: DataFrame, key: str = "id", text: str = "searchable_text") -> DataFrame:
     """(query_id, key) of all rows that hold every word of a query.
 
     Each query goes to the rows of its rarest word only; its other words are
-    checked in the row's own word list.  So a word that half the rows hold is
-    never the one that is joined on unless a query has nothing rarer.
+    counted in those rows.  So a word that half the rows hold is never the one
+    that is joined on unless a query has nothing rarer, and of the words of the
+    rows only those are moved that some query asks of that row.
     """
     q = queries.select(
         "query_id", F.array_distinct(F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda w: w != "")).alias("terms")
     ).where(F.size("terms") > 0)
     wanted = q.select(F.explode("terms").alias("term")).distinct()
-    # one pass over the texts: of every row only the words some query asks for are kept
-    kept = checkpointed(
-        postings(index, key, text).join(wanted, "term", "left_semi").groupBy(key).agg(F.collect_set("term").alias("words"))
-    )
-    opened = kept.select(key, "words", F.explode("words").alias("term"))
-    weight = opened.groupBy("term").agg(F.count("*").alias("df"))
+    # one pass over the texts
+    held = written(index.select(key, _words(text).alias("words")), "search-words").select(key, F.explode("words").alias("term"))
+    weight = held.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rarest = (
         q.select("query_id", "terms", F.explode("terms").alias("term")).join(weight, "term", "left")
         .groupBy("query_id").agg(
             F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"), F.first("terms").alias("terms")
         )
     )
-    return opened.join(rarest, "term").where(F.size(F.array_except("terms", "words")) == 0).select("query_id", key)
+    met = held.join(written(rarest, "search-rarest"), "term").select("query_id", key, F.explode("terms").alias("term"), F.size("terms").alias("n"))
+    asked = written(met.distinct(), "search-asked")  # rows of one key count as one
+    there = perhaps_in(held, asked, [key, "term"]).distinct()
+    found = asked.join(there, [key, "term"]).groupBy("query_id", key).agg(F.count("*").alias("_found"), F.first("n").alias("n"))
+    return found.where("_found = n").select("query_id", key)
