@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradebook.operators.keys import perhaps_in
+from tradebook.session import checkpointed, written
+
 _BITS = 21  # of a character's code
 
 
@@ -101,27 +104,32 @@ def search_pieces(queries: DataFrame, posted: DataFrame, keys: Sequence[str]) ->
     ``queries`` has query_id and query; terms are parted by white space, their case does not count.  A query without terms
     finds nothing.  No text is read: all is told from the postings.
     """
-    from tradebook.session import checkpointed
-
     wanted = checkpointed(cover(queries))
     widths = [r["width"] for r in wanted.select("width").distinct().collect()]  # 1, 2, 3
     if not widths:
         return queries.select("query_id").limit(0).join(posted.select(*keys).limit(0))
-    by = _by_width(posted, sorted(widths)).join(wanted.select("width", "gram").distinct(), ["width", "gram"], "left_semi")
-    by = checkpointed(by)  # postings of the queries' triples only
+    # postings of the queries' triples only; they are read three times and never kept, for with their places they outgrow the texts
+    grams = written(wanted.select("width", "gram").distinct(), "pieces-grams")
+    by = _by_width(posted, sorted(widths)).join(grams, ["width", "gram"], "left_semi")
     often = by.groupBy("width", "gram").agg(F.count("*").alias("df"))
     # a triple that no text has is the rarest of all: its query meets nothing
     rarest = wanted.join(often, ["width", "gram"], "left").groupBy("query_id").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "width", "gram")).alias("_r")
     )
-    rarest = rarest.where("_r.df > 0").select("query_id", "_r.width", "_r.gram")
-    met = checkpointed(by.select("width", "gram", *keys).join(rarest, ["width", "gram"]).select("query_id", *keys).distinct())
-    asked = met.join(wanted, "query_id").join(by, ["width", "gram", *keys])
+    rarest = written(rarest.where("_r.df > 0").select("query_id", "_r.width", "_r.gram"), "pieces-rarest")
+    met = written(by.select("width", "gram", *keys).join(rarest, ["width", "gram"]).select("query_id", *keys).distinct(), "pieces-met")
+    of_met = met.join(wanted, "query_id")
+    # a term of one triple is there or not: a short one begins many triples of a text, so their places are left out
+    alone, several = of_met.where("parts = 1"), of_met.where("parts > 1")
+    there = perhaps_in(by.select("width", "gram", *keys), alone, ["width", "gram", *keys]).distinct()
+    short = alone.join(there, ["width", "gram", *keys]).select("query_id", *keys, "term", "terms")
+    asked = several.join(perhaps_in(by, several, ["width", "gram", *keys]), ["width", "gram", *keys])
     placed = asked.withColumn("starts", F.expr("transform(places, p -> p - offset)"))
     # a term's parts agree on a start; there are as many lists as parts, each no longer than the text
     heard = placed.groupBy("query_id", *keys, "term").agg(
         F.first("terms").alias("terms"), F.first("parts").alias("parts"), F.collect_list("starts").alias("lists")
     )
     whole = F.aggregate(F.slice("lists", 2, F.size("lists")), F.get("lists", F.lit(0)), F.array_intersect)
-    found = heard.where((F.col("parts") == 1) | ((F.size("lists") == F.col("parts")) & (F.size(whole) > 0)))
+    long = heard.where((F.size("lists") == F.col("parts")) & (F.size(whole) > 0)).select("query_id", *keys, "term", "terms")
+    found = long.unionByName(short.dropDuplicates(["query_id", *keys, "term"]))
     return found.groupBy("query_id", *keys).agg(F.count("*").alias("_n"), F.first("terms").alias("terms")).where("_n = terms").select("query_id", *keys)
