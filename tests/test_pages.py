@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tradebook.functions import urls
 from tradebook.operators import extract as ex
 from tradebook.operators import fields as fl
 from tradebook.operators import html as h
@@ -167,3 +168,26 @@ def test_short_main_element_beats_body(spark):
 )
 def test_profile_logo(spark, html, want):
     assert parsed(spark, html).select(ex.profile_logo()).first()[0] == want
+
+
+def test_pages_of_one_file_are_parsed_by_all_cores(spark, tmp_path):
+    spark.range(40).write.parquet(f"{tmp_path}/part")
+    html = F.concat(F.lit("<p>page "), F.col("id").cast("string"), F.lit("</p>"))
+    pages = spark.read.parquet(f"{tmp_path}/part").coalesce(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    parsed = h.parse_pages(pages)
+    assert parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r["text"] for r in parsed.collect()) == sorted(f"page {k}" for k in range(40))
+
+
+def test_profiles_work_out_a_title_once(spark):
+    pages = spark.createDataFrame([(1, "https://g.sa/1", "<title>A firm</title><h1>A firm</h1>")], "page_id long, url string, html string")
+    plan = ex.profiles(h.parse_pages(pages))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate inline"):]
+    assert "Filter" not in below  # a condition pushed below works the title out a second time
+
+
+def test_links_without_a_value_resolve_to_nothing(spark):
+    rows = [(None, "https://a.sa/x/y"), ("z", None), ("z", "no url"), ("z", "https://a.sa/x/y"), ("//b.sa/z", "https://a.sa"), ("mailto:m@a.sa", None), (" HTTP://B.sa ", None), ("", "https://a.sa/x?q")]
+    df = spark.createDataFrame(rows, "r string, base string")
+    got = [r[0] for r in df.select(urls.resolve(F.col("r"), F.col("base"))).collect()]
+    assert got == [None, "z", "z", "https://a.sa/x/z", "https://b.sa/z", "mailto:m@a.sa", "http://b.sa/", "https://a.sa/x?q"]
