@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tradebook.functions import fixed_values as fv
 from tradebook.functions import text as tx
 from tradebook.functions import urls
-from tradebook.functions.semantics import let_sql
+from tradebook.functions.semantics import let_sql, once
 from tradebook.operators import html as h
 from tradebook.operators.fields import json_ld_texts
 from tradebook.session import checkpointed
@@ -559,8 +559,7 @@ def profiles(parsed: DataFrame) -> DataFrame:
         return F.expr(f"transform(array({sql}), o -> {h.line_of('o')})[0]")
 
     in_root = lambda cond: f"get(filter(main, n -> {cond}), 0)"
-    base = with_main(parsed).select(
-        "page_id", "url",
+    base = once(with_main(parsed).select("page_id", "url", "text", "nodes", "main"),
         one_line(h.first_of("n.tag = 'h1'")).alias("_h1"), one_line(h.first_of("n.tag = 'title'")).alias("_doc"),
         F.expr(h.meta("og:title", "property")).alias("_og"),
         one_line(in_root("n.tag = 'h1'")).alias("_own"),
@@ -574,13 +573,13 @@ def profiles(parsed: DataFrame) -> DataFrame:
         F.expr(f"{in_root('''n.attrs['data-description'] IS NOT NULL''')}.attrs['data-description']").alias("_datadesc"),
         profile_logo().alias("logo_url"),
         one_line(in_root("n.tag = 'address' OR n.attrs['itemprop'] IN ('address', 'streetAddress') OR " + h.has_class("n", "address"))).alias("_address"),
-    )
+    ).drop("text", "nodes", "main")
     vague = lambda c: (F.coalesce(c, F.lit("")) == "") | F.lower(c).isin(*fv.GENERIC_TITLES)
     title = F.coalesce(
         F.when(~vague(F.col("_og")), F.col("_og")), F.when(~vague(F.col("_doc")), F.col("_doc")), F.when(~vague(F.col("_h1")), F.col("_h1")),
         *[F.when(F.col(c) != "", F.col(c)) for c in ("_og", "_doc", "_h1")],
     )
-    titled = base.withColumn("_t", tx.split_title(F.regexp_replace(title, r"(?i)\s*\|\s*saudi\s+industry\s+guide\s*$", "")))
+    titled = once(base, tx.split_title(F.regexp_replace(title, r"(?i)\s*\|\s*saudi\s+industry\s+guide\s*$", "")).alias("_t"))
     other = ~vague(F.col("_own")) & F.col("_own").rlike("[A-Za-z]") & (tx.token_overlap(F.col("_own"), F.col("_t.name_en")) < 0.34)
     digits = lambda c: F.when(F.length(F.regexp_replace(c, r"\D", "")).between(7, 15), F.regexp_replace(c, r"\D", ""))
     mailto = F.regexp_extract("_mail", r"(?i)^mailto:([^?]+)", 1)
