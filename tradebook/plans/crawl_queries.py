@@ -16,6 +16,7 @@ from tradebook.operators import html as h
 from tradebook.plans import views as v
 from tradebook.plans.page_queries import _PER_PAGE, _listing
 from tradebook.plans.registry import query, table
+from tradebook.session import spread
 
 # --- refused pages -----------------------------------------------------------------------------------
 
@@ -176,7 +177,7 @@ def detail_pages(spark, sf_dir):
     """Listing records completed from their detail pages; a third points to none, a quarter has a mail already."""
     p = table(spark, sf_dir, "part")
     html = f"""'<html><body><h1>' || p_name || '</h1><p>' || {_DESCRIBED} || '</p><a href="mailto:m' || p_partkey || '@b.sa">mail</a> <a href="tel:+96611' || (1000000 + p_partkey) || '">call</a></body></html>'"""
-    pages = p.where("p_partkey % 3 <> 0").select(
+    pages = spread(p.where("p_partkey % 3 <> 0"), 4).select(
         F.col("p_partkey").alias("page_id"), F.expr("'http://www.list.example.org/Home/FactoryDetails/' || p_partkey || '/?utm_source=x'").alias("url"),
         F.expr(html).alias("html"),
     )
