@@ -157,3 +157,19 @@ def test_search_text_is_not_made_for_every_term(spark):
     found = se.search(index, "caf hne a_b")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 2  # to find rows and to show them, not again for every term
     assert [r.id for r in found.collect()] == [1]
+
+
+def test_segments_keep_less_than_their_texts_outgrow(spark, tmp_path):
+    """What a segment keeps stays near its texts, and it is written without moving postings."""
+    words = [f"w{k:04d}" for k in range(3000)]
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices(words, k=400))) for k in range(60)]
+    index = spark.createDataFrame(rows, "id long, searchable_text string").withColumn("last_updated", F.lit("2024-01-01"))
+    folder = f"{tmp_path}/kept"
+    segments.add_segment(spark, folder, index)
+    posted = sum(f.stat().st_size for f in tmp_path.glob("kept/postings-*/*.parquet"))
+    assert 0 < posted < sum(len(t) for _, t in rows)
+    q = spark.createDataFrame([(1, "w0001 0002"), (2, "W00"), (3, "w9"), (4, " "), (5, "0 w0003")], "query_id int, query string")
+    got = sorted(tuple(r) for r in segments.search_segments(spark, folder, q).collect())
+    want = [(n, k) for n, terms in ((1, ["w0001", "0002"]), (2, ["w00"]), (3, ["w9"]), (5, ["0", "w0003"])) for k, t in rows if all(x in t for x in terms)]
+    assert got == sorted(want)

@@ -56,6 +56,24 @@ def postings(index: DataFrame, keys: Sequence[str], text: str = "searchable_text
     return rows.mapInArrow(work, schema)
 
 
+def grams(index: DataFrame, keys: Sequence[str], text: str = "searchable_text", at_once: int = 500) -> DataFrame:
+    """(gram, *keys): the distinct triples of every text without their places, in order of the triples for ``at_once`` texts at a time."""
+    rows = index.select(*keys, F.col(text).cast("string").alias("_text")).where("_text <> ''")
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes), "gram long"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, at_once):
+                s = b.slice(at, at_once)
+                of_text = [np.unique(_triples(_codes(t))) for t in s.column(len(keys)).to_pylist()]
+                every = np.concatenate(of_text)
+                by = np.argsort(every, kind="stable")
+                of = pa.array(np.repeat(np.arange(len(of_text)), [len(g) for g in of_text])[by])
+                yield pa.RecordBatch.from_arrays([*(s.column(k).take(of) for k in range(len(keys))), pa.array(every[by])], [*keys, "gram"])
+
+    return rows.mapInArrow(work, schema)
+
+
 def cover(queries: DataFrame) -> DataFrame:
     """(query_id, term, terms, width, gram, offset, parts): the triples that cover each term of a query.
 
@@ -98,19 +116,20 @@ def _by_width(posted: DataFrame, widths: list[int]) -> DataFrame:
     return out
 
 
-def search_pieces(queries: DataFrame, posted: DataFrame, keys: Sequence[str]) -> DataFrame:
+def search_pieces(queries: DataFrame, posted: DataFrame, keys: Sequence[str], texts: DataFrame | None = None, text: str = "searchable_text") -> DataFrame:
     """(query_id, *keys) of the texts that hold every term of a query as a piece.
 
     ``queries`` has query_id and query; terms are parted by white space, their case does not count.  A query without terms
-    finds nothing.  No text is read: all is told from the postings.
+    finds nothing.  Without ``texts`` no text is read: all is told from the postings.  With them (*keys, ``text``; a row for
+    each key) the postings need no places: a query's terms are looked for in the texts that it meets, and only these are moved.
     """
     wanted = checkpointed(cover(queries))
     widths = [r["width"] for r in wanted.select("width").distinct().collect()]  # 1, 2, 3
     if not widths:
         return queries.select("query_id").limit(0).join(posted.select(*keys).limit(0))
     # postings of the queries' triples only; they are read three times and never kept, for with their places they outgrow the texts
-    grams = written(wanted.select("width", "gram").distinct(), "pieces-grams")
-    by = _by_width(posted, sorted(widths)).join(grams, ["width", "gram"], "left_semi")
+    asked_for = written(wanted.select("width", "gram").distinct(), "pieces-grams")
+    by = _by_width(posted, sorted(widths)).join(asked_for, ["width", "gram"], "left_semi")
     often = by.groupBy("width", "gram").agg(F.count("*").alias("df"))
     # a triple that no text has is the rarest of all: its query meets nothing
     rarest = wanted.join(often, ["width", "gram"], "left").groupBy("query_id").agg(
@@ -118,6 +137,11 @@ def search_pieces(queries: DataFrame, posted: DataFrame, keys: Sequence[str]) ->
     )
     rarest = written(rarest.where("_r.df > 0").select("query_id", "_r.width", "_r.gram"), "pieces-rarest")
     met = written(by.select("width", "gram", *keys).join(rarest, ["width", "gram"]).select("query_id", *keys).distinct(), "pieces-met")
+    if texts is not None:
+        terms = wanted.groupBy("query_id").agg(F.collect_set("term").alias("_terms"))  # of one query
+        read = perhaps_in(texts.select(*keys, F.col(text).cast("string").alias("_text")), met, keys)
+        held = F.forall("_terms", lambda t: F.col("_text").contains(t))
+        return met.join(terms, "query_id").join(read, [*keys]).where(held).select("query_id", *keys)
     of_met = met.join(wanted, "query_id")
     # a term of one triple is there or not: a short one begins many triples of a text, so their places are left out
     alone, several = of_met.where("parts = 1"), of_met.where("parts > 1")

@@ -59,10 +59,10 @@ class Ledger:
     def new_folder(self, name: str) -> str:
         return f"{self.folder}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> str:
-        """Write rows to a folder of their own, which counts once an entry names it."""
+    def write(self, df: DataFrame, name: str, **options: str) -> str:
+        """Write rows to a folder of their own, which counts once an entry names it; ``options`` are the writer's."""
         path = self.new_folder(name)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return path
 
     def read(self, paths: list[str], schema: T.StructType | str) -> DataFrame:

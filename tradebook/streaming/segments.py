@@ -1,7 +1,8 @@
 """A search table kept by segments: a write adds a segment, nothing that is there is rewritten.
 
-A segment holds the index rows of a write, marks of the rows it takes away, and the positional postings of its texts, in
-order of the triples so that a lookup reads few row groups.  A row counts if no later segment has its id.  When several
+A segment holds the index rows of a write, marks of the rows it takes away, and the triples of its texts.  Every task writes
+the triples of its own texts, in order by blocks of texts, so they are never moved; places are not kept, for they outgrow the
+texts many times: a search looks for its terms in the stored texts that the rarest triple leaves.  A row counts if no later segment has its id.  When several
 segments of about one size have gathered they are merged, so there are never more than a few of each size, and a row is
 rewritten once for each size it grows through.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradebook.operators.pieces import postings, search_pieces
+from tradebook.operators.pieces import grams, search_pieces
 from tradebook.operators.search import index_rows
 from tradebook.sources.ledger import Ledger, batch_mark, is_replay, with_mark
 from tradebook.streaming.streams import Batch
@@ -40,7 +41,7 @@ def _rows(ledger: Ledger, content: dict, segments: list[dict]) -> DataFrame | No
 
 
 def _postings(ledger: Ledger, content: dict, segments: list[dict]) -> DataFrame | None:
-    schema = T.StructType([_row_schema(content)["id"], T.StructField("gram", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([_row_schema(content)["id"], T.StructField("gram", T.LongType())])
     out = None
     for s in segments:
         df = ledger.read([s["postings_at"]], schema).withColumn("_seq", F.lit(s["seq"]).cast("long"))
@@ -57,8 +58,8 @@ def _segment(ledger: Ledger, rows: DataFrame, seq: int) -> dict:
     """Write a segment; ``rows`` has the index columns and ``_gone``."""
     rows_at = ledger.write(rows, "rows")
     back = ledger.spark.read.schema(rows.schema).parquet(rows_at)
-    posted = postings(back.where("not _gone"), ["id"]).repartitionByRange("gram").sortWithinPartitions("gram", "id")
-    return {"seq": seq, "rows": back.count(), "rows_at": rows_at, "postings_at": ledger.write(posted, "postings")}
+    posted = grams(back.where("not _gone"), ["id"])
+    return {"seq": seq, "rows": back.count(), "rows_at": rows_at, "postings_at": ledger.write(posted, "postings", compression="zstd")}
 
 
 def _merged(ledger: Ledger, content: dict, seq: int) -> list[dict]:
@@ -124,8 +125,9 @@ def search_segments(spark: SparkSession, folder: str, queries: DataFrame) -> Dat
     """(query_id, id) of all rows that hold every term of a query as a piece, over all segments at once."""
     ledger = Ledger(spark, folder)
     _, content = ledger.newest()
-    live = _newest(_rows(ledger, content, content["segments"])).where("not _gone").drop("_gone")
-    hits = search_pieces(queries, _postings(ledger, content, content["segments"]), ["id", "_seq"])
+    rows = _rows(ledger, content, content["segments"])
+    live = _newest(rows).where("not _gone").drop("_gone")
+    hits = search_pieces(queries, _postings(ledger, content, content["segments"]), ["id", "_seq"], rows.where("not _gone"))
     return hits.join(live, ["id", "_seq"], "left_semi").select("query_id", "id")
 
 
