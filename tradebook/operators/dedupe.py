@@ -21,6 +21,7 @@ from tradebook.session import checkpointed
 _Q = 3
 _MAX_DISTANCE_SHARE = 0.15  # similarity above .85
 _MAX_EXTRA_SHARE = 0.3  # containment ratio above .7
+EDGES_PER_TASK = 200_000  # about, in a round of components
 
 
 # --- pairs -------------------------------------------------------------------------------------
@@ -146,36 +147,45 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps: the first ties every larger
     neighbour to a row's smallest neighbour, the second does so for smaller ones.
     Each step is a grouped minimum and a join, edges only ever shrink towards one
-    star per component, and every round is cut off in the checkpoint folder.
+    star per component, and every round is cut off in the checkpoint folder.  A step
+    runs in as many tasks as its edges need, not one per shuffle partition: rounds
+    over a few edges would else be thousands of empty tasks and files.
     """
     e = checkpointed(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
     seen = _fingerprint(e)
     for _ in range(max_rounds):
-        e = checkpointed(_small_star(_large_star(e)))
+        tasks = _tasks(seen[0])
+        e = checkpointed(_small_star(_large_star(e.coalesce(tasks), tasks), tasks))
         now = _fingerprint(e)
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError("components did not settle")
+    e = e.coalesce(_tasks(seen[0]))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _tasks(edges: int) -> int:
+    return max(1, -(-edges // EDGES_PER_TASK))
+
+
+def _large_star(e: DataFrame, tasks: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # written first: both sides of the join are then plain shuffles, of which Spark splits a hub's rows
-    lowest = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-    return both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    lowest = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).coalesce(tasks))
+    larger = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return larger.coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    lowest = checkpointed(e.groupBy("u").agg(F.min("v").alias("m")))
+def _small_star(e: DataFrame, tasks: int) -> DataFrame:
+    lowest = checkpointed(e.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks))
     ties = e.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return ties.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
+    return ties.unionByName(lowest.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def _fingerprint(e: DataFrame) -> tuple:
