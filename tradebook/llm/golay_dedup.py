@@ -101,13 +101,15 @@ def _keyed(fps: DataFrame, keys, name: str) -> DataFrame:
 def links(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(a, b), a < b: all pairs of different fingerprints that differ in at most ``most_bits`` (4 or fewer) bits.
 
-    ``fps`` has every fingerprint once.  Both sides of the join are plain shuffles, so Spark splits a crowded key.
+    ``fps`` has every fingerprint once.  Both sides of the join are plain shuffles, so Spark splits a crowded key.  They
+    are asked for by name: Spark sizes the keys by the rows they are made of, up to 111 times too low, and would send them
+    to the driver.
     """
     if not 0 <= most_bits <= MOST_BITS:
         raise ValueError(f"the keys hold for {MOST_BITS} bits or fewer")
     filed, looked = _keyed(fps, filed_keys, "a"), _keyed(fps, lookup_keys, "b")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits)
-    return filed.join(looked, "key").where(close).select("a", "b").distinct()
+    return filed.join(looked.hint("merge"), "key").where(close).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
