@@ -197,7 +197,9 @@ def match_existing(new: DataFrame, stored: DataFrame, order: str, fallback_sourc
     Order of the rules: same website; same source and name; same name; same source
     when the record has no name.  Per key the last stored row (by ``order``) counts.
     Both sides are cut to (kind, key, id) before the one join; the stored side is
-    written, so that a key which many new records share can be split.
+    written, so that a key which many new records share can be split.  The join is
+    asked to be a shuffled one: Spark sizes exploded keys too low and would send
+    those of all records to the driver.
     """
     s = checkpointed(
         _keyed(stored, list(dict.fromkeys(["id", order]))).groupBy("kind", "key").agg(F.max_by(F.struct("id", "_name"), order).alias("hit"))
@@ -209,7 +211,7 @@ def match_existing(new: DataFrame, stored: DataFrame, order: str, fallback_sourc
         .when(F.col("kind") == "n", 3)
         .when((F.col("kind") == "s") & (F.col("_name") == ""), 4)
     )
-    hits = n.join(s, ["kind", "key"]).withColumn("rule", prio).where("rule is not null")
+    hits = n.join(s.hint("merge"), ["kind", "key"]).withColumn("rule", prio).where("rule is not null")
     return hits.groupBy("id").agg(F.min_by("hit.id", "rule").alias("existing_id"), F.min("rule").alias("rule"))
 
 
