@@ -18,6 +18,7 @@ from tradebook.operators.keys import perhaps_in
 from tradebook.session import checkpointed, written
 
 _BITS = 21  # of a character's code
+_MAP = 134_217_689  # bits of the map of triples that queries ask for; too few cost work, never a hit
 
 
 def _codes(text: str) -> np.ndarray:
@@ -30,8 +31,37 @@ def _triples(codes: np.ndarray) -> np.ndarray:
     return padded[:-2] << (2 * _BITS) | padded[1:-1] << _BITS | padded[2:]
 
 
-def postings(index: DataFrame, keys: Sequence[str], text: str = "searchable_text") -> DataFrame:
-    """(gram, *keys, places): the places, from 0, of every triple of every text; null and empty texts have none."""
+def _asked_map(asked: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The widths of asked triples and a map with a bit set for each of them, of one size whatever the queries."""
+    bit = (F.col("gram") % _MAP * 4 + F.col("width")) % _MAP
+    bits, widths = np.zeros(4096 * (_MAP // 32768 + 1), np.uint8), set()
+    pieces = asked.select("width", bit.alias("bit")).groupBy("width", F.expr("bit div 32768").alias("piece"))
+    for r in pieces.agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits")).toLocalIterator():
+        widths.add(r["width"])
+        bits[r["piece"] << 12 : (r["piece"] + 1) << 12] |= np.frombuffer(r["bits"], np.uint8)
+    return sorted(widths), bits
+
+
+def postings(index: DataFrame, keys: Sequence[str], text: str = "searchable_text", asked: DataFrame | None = None) -> DataFrame:
+    """(gram, *keys, places): the places, from 0, of every triple of every text; null and empty texts have none.
+
+    With ``asked`` (width, gram; as ``cover`` gives them) only triples that begin with one of these, and a few more by
+    chance: what no query asks for is neither sorted nor sent from the tasks that read the texts.
+    """
+    wanted = None
+    if asked is not None:
+        widths, bits = _asked_map(asked)
+        wanted = index.sparkSession.sparkContext.broadcast(bits)
+
+    def heard(g: np.ndarray) -> np.ndarray:
+        """Where the triples stand that some query asks for."""
+        on = np.zeros(len(g), bool)
+        for w in widths:
+            at = (g >> ((3 - w) * _BITS)) % _MAP
+            at = (at * 4 + w) % _MAP
+            on |= wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+        return np.flatnonzero(on)
+
     rows = index.select(*keys, F.col(text).cast("string").alias("_text")).where("_text <> ''")
     schema = ", ".join([*(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes), "gram long, places array<int>"])
 
@@ -42,11 +72,13 @@ def postings(index: DataFrame, keys: Sequence[str], text: str = "searchable_text
                 grams, places, sizes, rows_of = [], [], [], []
                 for row, t in enumerate(s.column(len(keys)).to_pylist()):
                     g = _triples(_codes(t))
-                    by = np.argsort(g, kind="stable")
-                    first = np.flatnonzero(np.concatenate([[True], np.diff(g[by]) != 0]))
+                    by = np.argsort(g, kind="stable") if wanted is None else heard(g)
+                    if wanted is not None:
+                        by = by[np.argsort(g[by], kind="stable")]
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(g[by]) != 0])[: len(by)])
                     grams.append(g[by][first])
                     places.append(by.astype(np.int32))
-                    sizes.append(np.diff(np.append(first, len(g))))
+                    sizes.append(np.diff(np.append(first, len(by))))
                     rows_of.append(np.full(len(first), row))
                 ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
                 of = pa.array(np.concatenate(rows_of))
@@ -108,12 +140,10 @@ def cover(queries: DataFrame) -> DataFrame:
 
 
 def _by_width(posted: DataFrame, widths: list[int]) -> DataFrame:
-    """Postings under the first ``width`` characters of their triples, for each width that some term has."""
-    out = None
-    for w in widths:
-        rows = posted.withColumns({"width": F.lit(w), "gram": F.shiftright("gram", (3 - w) * _BITS)})
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Postings under the first ``width`` characters of their triples, for each width that some term has; made once for all of them."""
+    each = F.array(*[F.struct(F.lit(w).alias("width"), F.shiftright("gram", (3 - w) * _BITS).alias("gram")) for w in widths])
+    rest = [c for c in posted.columns if c != "gram"]
+    return posted.select(*rest, F.explode(each).alias("_g")).select("_g.width", "_g.gram", *rest)
 
 
 def search_pieces(queries: DataFrame, posted: DataFrame, keys: Sequence[str], texts: DataFrame | None = None, text: str = "searchable_text") -> DataFrame:
@@ -127,7 +157,8 @@ def search_pieces(queries: DataFrame, posted: DataFrame, keys: Sequence[str], te
     widths = [r["width"] for r in wanted.select("width").distinct().collect()]  # 1, 2, 3
     if not widths:
         return queries.select("query_id").limit(0).join(posted.select(*keys).limit(0))
-    # postings of the queries' triples only; they are read three times and never kept, for with their places they outgrow the texts
+    # postings of the queries' triples only (best made so: ``postings`` with ``asked``); they are read three times and never
+    # kept, for with their places they outgrow the texts
     asked_for = written(wanted.select("width", "gram").distinct(), "pieces-grams")
     by = _by_width(posted, sorted(widths)).join(asked_for, ["width", "gram"], "left_semi")
     often = by.groupBy("width", "gram").agg(F.count("*").alias("df"))
@@ -146,8 +177,9 @@ def search_pieces(queries: DataFrame, posted: DataFrame, keys: Sequence[str], te
     # a term of one triple is there or not: a short one begins many triples of a text, so their places are left out
     alone, several = of_met.where("parts = 1"), of_met.where("parts > 1")
     there = perhaps_in(by.select("width", "gram", *keys), alone, ["width", "gram", *keys]).distinct()
-    short = alone.join(there, ["width", "gram", *keys]).select("query_id", *keys, "term", "terms")
-    asked = several.join(perhaps_in(by, several, ["width", "gram", *keys]), ["width", "gram", *keys])
+    # what the texts hold is shuffled: Spark sizes it by rows that are not exploded yet and would send it to the driver
+    short = alone.join(there.hint("merge"), ["width", "gram", *keys]).select("query_id", *keys, "term", "terms")
+    asked = several.join(perhaps_in(by, several, ["width", "gram", *keys]).hint("merge"), ["width", "gram", *keys])
     placed = asked.withColumn("starts", F.expr("transform(places, p -> p - offset)"))
     # a term's parts agree on a start; there are as many lists as parts, each no longer than the text
     heard = placed.groupBy("query_id", *keys, "term").agg(

@@ -87,8 +87,8 @@ def _piece_queries(spark, sf_dir):
 @query("search_pieces", _PIECES_SQL)
 def search_pieces(spark, sf_dir):
     """Pieces of words of every passage, looked for in all texts at once."""
-    index = rq._index(spark, sf_dir)
-    return pieces.search_pieces(_piece_queries(spark, sf_dir), pieces.postings(index, ["id"]), ["id"])
+    index, queries = rq._index(spark, sf_dir), _piece_queries(spark, sf_dir)
+    return pieces.search_pieces(queries, pieces.postings(index, ["id"], asked=pieces.cover(queries)), ["id"])
 
 
 @query("stream_index", _PIECES_SQL)
