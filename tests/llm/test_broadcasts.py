@@ -18,6 +18,7 @@ def test_golay_keys_meet_by_shuffles(spark):
     values = [rng.getrandbits(64) for _ in range(40)]
     values += [v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values]
     fps = spark.createDataFrame([(int(v),) for v in np.array(sorted(set(values)), np.uint64).view(np.int64)], "fp long")
+    fps = golay_dedup.stored(fps, "test-fps")  # of a size that Spark knows
     found = golay_dedup.links(fps)
     assert "Broadcast" not in _plan(found) and "SortMergeJoin" in _plan(found)
     every = [r["fp"] for r in fps.collect()]
